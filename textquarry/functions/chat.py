@@ -11,7 +11,7 @@ DISCONNECT_LINE = "irc: disconnected from server"
 ADDRESSEE_PATTERN = r"^([^: ]+): "
 MENTION_PATTERN = r"<@(\d+)>"
 
-LOG_TIME_PATTERN = r"^(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))? *$"
+LOG_TIME_PATTERN = r"^(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))? *\z"
 
 
 def conversation_from_dir(name: Column) -> tuple[Column, Column]:
