@@ -75,5 +75,5 @@ def resolve_mentions(text: Column, users: Column) -> tuple[Column, Column]:
 
 def time_text(time: Column) -> Column:
     """UTC time with milliseconds only where there are some, then offset and zone."""
-    digits = F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSS")
-    return F.concat(F.regexp_replace(digits, r"\.?0+$", ""), F.lit(" +0000 UTC"))
+    utc = F.convert_timezone(None, F.lit("UTC"), time.cast("timestamp_ntz"))
+    return F.concat(utc.cast("string"), F.lit(" +0000 UTC"))

@@ -17,14 +17,13 @@ def analyze(spark, text: str, analyzer: Callable[[Column], Column]) -> list[str]
     return spark.range(1).select(analyzer(F.lit(text)).alias("terms")).first().terms
 
 
-def _field_score(tokens: Column, counts: dict[str, Column], stats: DataFrame, field: str) -> Column:
+def _field_score(tokens: Column, counts: list[Column], stats: Column, field: str) -> Column:
     """BM25 of one analysed field, from the counts of the query terms in it."""
     score = F.lit(0.0)
-    average = stats.select(f"{field}_average").scalar()
-    n = stats.select(f"{field}_n").scalar()
-    for at, tf in enumerate(counts.values()):
-        df = stats.select(f"{field}_df_{at}").scalar()
-        weight = bm25_weight(tf, df, F.size(tokens), n, average)
+    for at, tf in enumerate(counts):
+        weight = bm25_weight(
+            tf, stats[f"{field}_df_{at}"], F.size(tokens), stats[f"{field}_n"], stats[f"{field}_average"]
+        )
         score = score + F.when(tf > 0, weight).otherwise(0.0)
     return score
 
@@ -76,9 +75,7 @@ def _text_hits(messages, text, must, analyzer) -> DataFrame:
         return F.size(F.filter(field, lambda t: t == wanted))
 
     # A term repeated in the query scores once per repeat.
-    counts = {
-        f: {at: count_of(f, wanted) for at, wanted in enumerate(query[f])} for f in fields
-    }
+    counts = {f: [count_of(f, wanted) for wanted in query[f]] for f in fields}
     analysed = messages.select(
         "*", *[a(F.col("message")).alias(f) for f, a in fields.items()]
     )
@@ -90,7 +87,7 @@ def _text_hits(messages, text, must, analyzer) -> DataFrame:
         for at, wanted in enumerate(query[f]):
             has = F.array_contains(f, wanted)
             aggregates.append(F.count_if(has).cast("double").alias(f"{f}_df_{at}"))
-    stats = analysed.agg(*aggregates)
+    stats = analysed.agg(F.struct(*aggregates).alias("stats")).scalar()
     score = F.lit(0.0)
     for f in fields:
         score = score + _field_score(F.col(f), counts[f], stats, f)
