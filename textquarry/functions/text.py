@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The published default stop words of the English analyser.
 STOP_WORDS = (
@@ -58,10 +58,10 @@ def normalize_username(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?s)^[+%@]?(.+)$", "$1"))
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_all(terms: pa.Array) -> pa.Array:
-    """Stem every term. A worker stems each distinct term of a batch only once, and
-    common ones once in its life, so no join with a vocabulary is needed."""
+    """Stem every term. Each distinct term of a batch is stemmed once, where it is, so no
+    shuffle and no join with a vocabulary is needed."""
     flat = terms.flatten().dictionary_encode()
     stems = pa.array([porter_stem(t) for t in flat.dictionary.to_pylist()], pa.string())
     lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -110,7 +110,6 @@ def _longest_suffix(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
-@functools.lru_cache(maxsize=1 << 18)
 def porter_stem(word: str) -> str:
     """Porter's suffix stripping (1980) of a lowercase word."""
     if len(word) <= 2:

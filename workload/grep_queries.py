@@ -13,7 +13,7 @@ BOUNDARY = r"\b[A-Z]\w+tion\b.*\bou\b"
 ANCHORS = r"\A(?:The|Le|In|Es) |on\.\z"
 CLASSES = r"[[:upper:]][^[:space:]]*ß|\p{Lu}[^\PLa-z]{2,}|\d{3,}[^\D5]"
 NESTED = "^(?:[a-zß-ÿ]+[ ,]*)+of(?: [a-z]+)*$|(?:ou|eau)+x"
-RARE = "x[aeiou]{2,}[a-z]*z"
+RARE = "x[aeiou]{2,}[a-zé]*x"
 FLAGS = "(?i)the(?-i: [A-Z])|(?s:b.e) Y"
 
 
