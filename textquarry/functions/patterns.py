@@ -233,6 +233,15 @@ def _complement(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _outside(ranges: list[tuple[int, int]], fold: bool) -> list[tuple[int, int]]:
+    """Complement of a named class; where case is ignored, of all its folded forms."""
+    if fold:
+        letters = {chr(code) for lo, hi in ranges for code in range(lo, hi + 1)}
+        folded = set().union(*map(fold_orbit, letters))
+        ranges = [(ord(c), ord(c)) for c in folded]
+    return _complement(ranges)
+
+
 def _java_property(name: str, negated: bool) -> str:
     if name.startswith("^"):
         name, negated = name[1:], not negated
@@ -423,7 +432,7 @@ class _Scanner:
         """Next class member: a code point, or ranges of a named class."""
         if found := self.take(_POSIX):
             ranges = POSIX[found.group(2)]
-            return _complement(ranges) if found.group(1) else ranges
+            return _outside(ranges, self.flags["i"]) if found.group(1) else ranges
         if found := self.take(_PROPERTY):
             return [_java_property(found.group(2) or found.group(3), found.group(1) == "P")]
         c = self.source[self.at]
@@ -438,7 +447,7 @@ class _Scanner:
         if name.lower() not in PERL:
             raise ValueError(f"unsupported escape \\{name} in pattern {self.source!r}")
         ranges = PERL[name.lower()]
-        return _complement(ranges) if name.isupper() else ranges
+        return _outside(ranges, self.flags["i"]) if name.isupper() else ranges
 
     def char_class(self) -> None:
         start = self.at

@@ -41,7 +41,7 @@ def _fields(line: Column) -> Column:
 def is_bad_line(line: Column) -> Column:
     """True for a line that does not hold three fields and a time."""
     fields = _fields(line)
-    well_formed = (F.size(fields) == 3) & parse_log_time(fields[0]).isNotNull()
+    well_formed = (F.size(fields) == 3) & parse_log_time(F.get(fields, 0)).isNotNull()
     return (line != DISCONNECT_LINE) & ~well_formed
 
 
@@ -82,10 +82,10 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     )
     messages = fields.select(
         *others,
-        parse_log_time(F.col("fields")[0]).alias("time"),
-        F.col("fields")[1].alias("from"),
-        addressee(F.col("fields")[2]).alias("to"),
-        F.col("fields")[2].alias("message"),
+        parse_log_time(F.get("fields", 0)).alias("time"),
+        F.get("fields", 1).alias("from"),
+        addressee(F.get("fields", 2)).alias("to"),
+        F.get("fields", 2).alias("message"),
     )
     return drop_system_lines(messages)
 

@@ -36,10 +36,11 @@ from textquarry.operators.maintenance import (
 from textquarry.plans.index_corpus import files_with_reason
 from textquarry.sources.archives import FILES_SCHEMA, expand_archives
 from textquarry.streaming.stream_index import current_documents, stream_index
-from workload.grep_queries import LITERAL, lines_sql
+from workload.grep_queries import lines_sql
 from workload.tables import documents, page_files, table
 
 PREFIX = "/blog.tionsh.example.net"
+TREE_PATTERN = "e[nr]t[.,]"
 
 # File paths for documents, some in ignored directories or with an ignored name.
 PATH_SQL = """
@@ -194,7 +195,7 @@ def _scan_tree(spark, sf_dir):
     docs.select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 100).text(tree)
     files = files_with_reason(spark, tree)
     found = grep(
-        to_documents(files.where(F.col("drop_reason").isNull())), LITERAL, keep=("path",)
+        to_documents(files.where(F.col("drop_reason").isNull())), TREE_PATTERN, keep=("path",)
     )
     lang = F.regexp_extract("path", "lang=([a-z]+)", 1)
     return found.groupBy(lang.alias("lang")).agg(F.count("*").alias("n_lines"))
@@ -423,7 +424,7 @@ ORACLE = {
     ),
     "scan_tree_and_grep": f"""
         SELECT lang, count(*) AS n_lines FROM ({lines_sql("lang")})
-        WHERE regexp_matches(line, '{LITERAL}') GROUP BY lang
+        WHERE regexp_matches(line, '{TREE_PATTERN}') GROUP BY lang
     """,
     "stream_index": """
         SELECT lang, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars
