@@ -29,7 +29,8 @@ ANYTHING = None  # a stretch of text of which nothing is known
 
 def trigrams(text: Column) -> Column:
     """Distinct overlapping grams of three code points; none for shorter texts."""
-    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+    # Each match takes one code point, so the next never starts inside a surrogate pair.
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1))
     return F.array_distinct(grams)
 
 

@@ -86,7 +86,8 @@ def _scan(directory: str) -> tuple[list[str], list[tuple]]:
             continue
         kind = "file" if stat.S_ISREG(info.st_mode) else "other"
         kind = "symlink" if stat.S_ISLNK(info.st_mode) else kind
-        files.append((entry.path, datetime.fromtimestamp(info.st_mtime, UTC), info.st_size, kind))
+        modified = datetime.fromtimestamp(info.st_mtime_ns // 1_000_000 / 1000, UTC)
+        files.append((entry.path, modified, info.st_size, kind))
     return directories, files
 
 

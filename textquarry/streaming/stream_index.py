@@ -86,7 +86,8 @@ def compact(spark: SparkSession, table: str, target: str) -> None:
 
 
 def changed_paths(index: DataFrame, listing: DataFrame) -> DataFrame:
-    """Paths of a listing that are new, or newer than the index has them."""
+    """Paths of a listing that are new, or newer (in whole milliseconds, as file sources
+    report times) than the index has them."""
     known = index.select("doc_id", F.col("modified_at").alias("known_at"))
     seen = listing.withColumn("doc_id", F.sha2("path", 256))
     fresh = seen.join(known, "doc_id", "left")
