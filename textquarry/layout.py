@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SMALL_INPUT_BYTES = 256 << 20
 
@@ -26,10 +27,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
+def spread_small(df: DataFrame) -> DataFrame:
     """Give every core a share of a small input that comes in fewer pieces (one file
     with one row group is one task). Inputs over 256 MB are left as they are read: they
-    have enough pieces, and are not shuffled for this."""
+    have enough pieces, and are not shuffled for this.
+
+    Rows are spread by seeded random numbers, not by a key, because Spark moves no
+    filter below such an exchange: costly filters then run on all cores."""
     if estimated_bytes(df) > SMALL_INPUT_BYTES:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.rand(0))

@@ -39,13 +39,17 @@ def _engine_for(pattern: LinePattern, engine: str) -> str:
 
 def split_lines(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per line with ``line_no`` from 1, ``line`` and ``ends_text`` (the text ends
-    here, without a newline). A final newline starts no further line."""
+    here, without a newline). A final newline starts no further line.
+
+    The outer form of the generator is used, here and elsewhere, because Spark guards the
+    plain one with a filter that would split every text two more times."""
     pieces = docs.select(*keep, F.split(F.col(text), "\n", -1).alias("pieces"))
     exploded = pieces.select(
-        *keep, F.size("pieces").alias("n_pieces"), F.posexplode("pieces").alias("at", "line")
+        *keep, F.size("pieces").alias("n_pieces"), F.posexplode_outer("pieces").alias("at", "line")
     )
     at_end = F.col("at") == F.col("n_pieces") - 1
-    return exploded.where(~at_end | (F.col("line") != "")).select(
+    real = F.col("line").isNotNull() & (~at_end | (F.col("line") != ""))
+    return exploded.where(real).select(
         *keep, (F.col("at") + 1).alias("line_no"), "line", at_end.alias("ends_text")
     )
 

@@ -27,8 +27,9 @@ def parse_discord(exports: DataFrame) -> DataFrame:
         "file", F.from_json("text", EXPORT_SCHEMA, {"mode": "FAILFAST"}).alias("e")
     ).select("file", "e.meta", "e.data")
     messages = (
-        read.select("file", F.explode("data").alias("channel_id", "posts"))
-        .select("file", "channel_id", F.explode("posts").alias("post_id", "post"))
+        read.select("file", F.explode_outer("data").alias("channel_id", "posts"))
+        .select("file", "channel_id", F.explode_outer("posts").alias("post_id", "post"))
+        .where(F.col("post_id").isNotNull())
         .select(
             "file",
             "channel_id",
@@ -38,17 +39,17 @@ def parse_discord(exports: DataFrame) -> DataFrame:
             F.coalesce("post.m", F.lit("")).alias("message"),
         )
     )
-    users = read.select("file", F.explode("meta.users").alias("user_id", "user")).select(
+    users = read.select("file", F.explode_outer("meta.users").alias("user_id", "user")).select(
         "file", "user_id", F.coalesce("user.name", F.lit("")).alias("name")
     )
     authors = (
-        read.select("file", F.posexplode("meta.userindex").alias("author", "user_id"))
+        read.select("file", F.posexplode_outer("meta.userindex").alias("author", "user_id"))
         .join(users, ["file", "user_id"], "left")
         .select("file", "author", F.coalesce("name", F.lit("")).alias("from"))
     )
-    listed = read.select("file", F.explode("meta.channels").alias("channel_id", "c"))
+    listed = read.select("file", F.explode_outer("meta.channels").alias("channel_id", "c"))
     channels = (
-        read.select("file", F.explode(F.map_keys("data")).alias("channel_id"))
+        read.select("file", F.explode_outer(F.map_keys("data")).alias("channel_id"))
         .join(listed, ["file", "channel_id"], "left")
         .select(
             "file",
@@ -57,7 +58,7 @@ def parse_discord(exports: DataFrame) -> DataFrame:
             F.coalesce("c.name", F.lit("")).alias("channel_name"),
         )
     )
-    servers = read.select("file", F.posexplode("meta.servers").alias("server_at", "s")).select(
+    servers = read.select("file", F.posexplode_outer("meta.servers").alias("server_at", "s")).select(
         "file", "server_at", F.col("s.name").alias("server"), F.col("s.type").alias("server_type")
     )
     named = resolve_names(messages, authors, channels, servers)

@@ -44,8 +44,8 @@ def parse_weechat(files: DataFrame) -> DataFrame:
         F.lit("irc").alias("protocol"),
         server.alias("server"),
         channel.alias("channel_or_person"),
-        F.posexplode(cut_at_first_bad_line(file_lines(F.col("text")))).alias("at", "line"),
-    ).where(F.col("server").isNotNull())
+        F.posexplode_outer(cut_at_first_bad_line(file_lines(F.col("text")))).alias("at", "line"),
+    ).where(F.col("server").isNotNull() & F.col("line").isNotNull())
     numbered = lines.withColumn("line_no", F.col("at") + 1).drop("at")
     return parse_log_lines(numbered).select("file", "line_no", *MESSAGE_COLUMNS)
 

@@ -56,14 +56,14 @@ def _usernames(spark, sf_dir):
 
 
 def _shingles(spark, sf_dir):
-    pairs = messages(spark, sf_dir).select(F.explode(shingles(F.col("message"))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.count("*").alias("n"))
+    pairs = messages(spark, sf_dir).select(F.explode_outer(shingles(F.col("message"))).alias("pair"))
+    return pairs.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def _terms(analyzer):
     def query(spark, sf_dir):
-        terms = messages(spark, sf_dir).select(F.explode(analyzer(F.col("message"))).alias("term"))
-        return terms.groupBy("term").agg(F.count("*").alias("n"))
+        terms = messages(spark, sf_dir).select(F.explode_outer(analyzer(F.col("message"))).alias("term"))
+        return terms.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("n"))
 
     return query
 

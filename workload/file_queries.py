@@ -96,7 +96,8 @@ def _document_ids(spark, sf_dir):
 
 def _path_tokens(spark, sf_dir):
     pages = page_files(spark, sf_dir)
-    tokens = pages.select("page_id", F.explode(path_tokens(F.col("path"))).alias("token"))
+    tokens = pages.select("page_id", F.explode_outer(path_tokens(F.col("path"))).alias("token"))
+    tokens = tokens.where(F.col("token").isNotNull())
     return tokens.groupBy("token").agg(F.count("*").alias("n_pages"))
 
 

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents for work on their whole texts."""
-    return spread_small(table(spark, sf_dir, "documents", *(columns or ("doc_id", "text"))), "doc_id")
+    return spread_small(table(spark, sf_dir, "documents", *(columns or ("doc_id", "text"))))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat messages."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread_small(table(spark, sf_dir, "conversations"))
     sender = (
         F.when(F.col("role") == "assistant", "@Assistant")
         .when(F.col("role") == "user", "+User")
