@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from textquarry.functions.grams import gram_condition
+from textquarry.functions.grams import gram_condition, required_literals
 from textquarry.functions.patterns import compile_pattern
 from textquarry.operators.grep import (
     format_matches,
@@ -249,6 +249,8 @@ def test_random_patterns_agree_with_re2(spark):
                 assert line == "" or anchored or text_regex.matcher(text).find(), (pattern, line)
                 grams = frozenset(line[i : i + 3] for i in range(len(line) - 2))
                 assert _holds(condition, grams), (pattern, fold, line, condition)
+                literals = required_literals(compiled)
+                assert not literals or any(x in line for x in literals), (pattern, line, literals)
     assert pruned > 5
 
 
@@ -269,7 +271,9 @@ def test_trigram_condition_never_loses_a_match():
         condition = gram_condition(compile_pattern(pattern, fold))
         lines = ["".join(rng.choices("abcB", k=rng.randint(1, 14))) for _ in range(30)]
         hits = pc.match_substring_regex(pa.array(lines), pattern=pattern, ignore_case=fold).to_pylist()
+        literals = required_literals(compile_pattern(pattern, fold))
         for line, hit in zip(lines, hits, strict=True):
+            assert not (hit and literals) or any(x in line for x in literals), (pattern, line)
             holds = _holds(condition, frozenset(line[i : i + 3] for i in range(len(line) - 2)))
             assert holds or not hit, (pattern, fold, line, condition)
             useful += not holds

@@ -178,6 +178,24 @@ def gram_condition(pattern: LinePattern) -> object:
     return _bounded(_condition(_spellings(pattern.parsed, False)), MAX_GRAMS)
 
 
+def required_literals(pattern: LinePattern, most: int = 4) -> list[str]:
+    """Strings of which every matching line holds at least one; empty if there is no
+    short such list. Plain string search is far cheaper than a pattern."""
+    if pattern.parsed is None:
+        return []
+    longest: list[str] = []
+    for spelling in _spellings(pattern.parsed, False):
+        runs = [""]
+        for item in spelling:
+            single = isinstance(item, frozenset) and len(item) == 1
+            runs.append(runs[-1] + next(iter(item)) if single else "")
+        longest.append(max(runs, key=len))
+    literals = sorted(set(longest))
+    if not literals or len(literals) > most or min(map(len, literals)) < 2:
+        return []
+    return literals
+
+
 def rarest(condition: object, frequency: Mapping[str, int], keep: int) -> object:
     """Keep the ``keep`` most selective terms of every AND. Dropping terms of an AND
     only weakens the condition, so no match is lost."""

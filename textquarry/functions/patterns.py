@@ -92,6 +92,7 @@ class Token:
     java: str
     py: str
     re2: str
+    word: bool = False  # matches exactly one character, always of [0-9A-Za-z_]
 
 
 # Anchors are rendered late: their form depends on whether a line or a text is matched.
@@ -176,7 +177,7 @@ class LinePattern:
     @property
     def may_backtrack(self) -> bool:
         """True if Java's engine could run very long or recurse very deeply: an unbounded
-        repeat of a group of several tokens, or many unbounded repeats in one pattern."""
+        repeat of a group of several tokens, or several unbounded repeats in one pattern."""
         open_repeats, opened = 0, []
         group = (0, 0)
         for at, token in enumerate(self.tokens):
@@ -190,7 +191,7 @@ class LinePattern:
                 if group[1] == at - 1 and group[1] - group[0] > 2 and most > 50:
                     return True
                 open_repeats += most == math.inf
-        return open_repeats > 3
+        return open_repeats > 1
 
 
 def _most_repeats(quantifier: str) -> float:
@@ -202,6 +203,29 @@ def _most_repeats(quantifier: str) -> float:
     return math.inf
 
 
+def _simplify_boundaries(tokens: list) -> None:
+    """Where ``\\b`` stands next to a word character, only its other side needs a look."""
+
+    def is_word(at: int) -> bool:
+        return 0 <= at < len(tokens) and isinstance(tokens[at], Token) and tokens[at].word
+
+    def repeat(at: int) -> str:
+        token = tokens[at] if 0 <= at < len(tokens) else None
+        return token.java if isinstance(token, Token) and _REPEAT.fullmatch(token.java) else ""
+
+    def optional(quantifier: str) -> bool:
+        return quantifier.startswith(("*", "?", "{0"))
+
+    for at, token in enumerate(tokens):
+        if not isinstance(token, Token) or token.java != _JAVA_BOUNDARY or repeat(at + 1):
+            continue
+        before = repeat(at - 1)
+        if is_word(at + 1) and not optional(repeat(at + 2)):
+            tokens[at] = Token(f"(?<!{_W})", token.py, token.re2)
+        elif is_word(at - 2 if before else at - 1) and not optional(before):
+            tokens[at] = Token(f"(?!{_W})", token.py, token.re2)
+
+
 def _java_char(code: int) -> str:
     c = chr(code)
     if c.isascii() and c.isalnum():
@@ -215,11 +239,16 @@ def _py_char(code: int) -> str:
 
 def _literal(code: int, fold: bool, source: str) -> Token:
     chars = sorted(fold_orbit(chr(code))) if fold else [chr(code)]
+    word = all(_is_word(ord(c)) for c in chars)
     if len(chars) == 1:
-        return Token(_java_char(code), _py_char(code), source)
+        return Token(_java_char(code), _py_char(code), source, word)
     java = "[" + "".join(_java_char(ord(c)) for c in chars) + "]"
     py = "[" + "".join(_py_char(ord(c)) for c in chars) + "]"
-    return Token(java, py, source)
+    return Token(java, py, source, word)
+
+
+def _is_word(code: int) -> bool:
+    return any(lo <= code <= hi for lo, hi in WORD)
 
 
 def _complement(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -284,7 +313,10 @@ def _class_token(
     if negated and not properties and not _complement(ranges):
         py = "(?!)"
     newline = bool(properties) or any(lo <= 10 <= hi for lo, hi in ranges) != negated
-    return Token(java, py, source), newline
+    word = not (negated or properties or fold) and all(
+        any(low <= lo and hi <= high for low, high in WORD) for lo, hi in ranges
+    )
+    return Token(java, py, source, word), newline
 
 
 _REPEAT = re.compile(r"[*+?]\??|\{\d+(?:,\d*)?\}\??")
@@ -482,4 +514,5 @@ def compile_pattern(pattern: str, ignore_case: bool = False) -> LinePattern:
         raise ValueError(f"bad pattern {pattern!r}: {error}") from None
     scanner = _Scanner(pattern, ignore_case)
     scanner.run()
+    _simplify_boundaries(scanner.tokens)
     return LinePattern(pattern, ignore_case, tuple(scanner.tokens), scanner.newline)

@@ -7,6 +7,8 @@ read. No operator shuffles but :func:`search_summary` (one row) and
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -14,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions.grams import required_literals
 from textquarry.functions.patterns import LinePattern, compile_pattern
 
 ENGINES = ("auto", "java", "re2")
@@ -73,6 +76,13 @@ def line_matches(pattern: LinePattern, engine: str = "java") -> Column:
     )
 
 
+def _with_literals(docs: DataFrame, pattern: LinePattern, text: str) -> DataFrame:
+    """Texts that hold a string without which no line matches. Measured, this is worth
+    its cost; testing whole texts with the pattern before their lines is not."""
+    tests = [F.contains(text, F.lit(literal)) for literal in required_literals(pattern)]
+    return docs.where(functools.reduce(operator.or_, tests)) if tests else docs
+
+
 def grep(
     docs: DataFrame,
     pattern: str,
@@ -85,8 +95,7 @@ def grep(
     """Every line with a match. A match never spans lines."""
     compiled = compile_pattern(pattern, ignore_case)
     engine = _engine_for(compiled, engine)
-    if engine == "java":
-        docs = docs.where(F.col(text).rlike(compiled.text_regex))
+    docs = _with_literals(docs, compiled, text)
     matched = split_lines(docs, text, keep).where(line_matches(compiled, engine))
     return matched.select(*keep, *(["line_no"] if line_numbers else []), "line")
 
@@ -106,12 +115,13 @@ def grep_files(
     whole = F.col(text)
     if engine == "re2":
         if compiled.text_test_is_exact and not compiled.has_text_anchor:
+            docs = _with_literals(docs, compiled, text)
             flags = "(?m)" + ("(?i)" if ignore_case else "")
             return docs.where(re2_matches(flags + pattern, whole)).select(*keep)
         return grep(docs, pattern, ignore_case, False, text, keep, engine).select(*keep).distinct()
-    docs = docs.where(whole.rlike(compiled.text_regex))
+    docs = _with_literals(docs, compiled, text)
     if compiled.text_test_is_exact:
-        return docs.select(*keep)
+        return docs.where(whole.rlike(compiled.text_regex)).select(*keep)
     pieces = F.split(whole, "\n", -1)
     if not compiled.has_text_anchor:
         regex = compiled.line_regex()
