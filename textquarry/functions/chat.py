@@ -11,7 +11,7 @@ DISCONNECT_LINE = "irc: disconnected from server"
 ADDRESSEE_PATTERN = r"^([^: ]+): "
 MENTION_PATTERN = r"<@(\d+)>"
 
-LOG_TIME_PATTERN = r"^(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))? *\z"
+LOG_TIME_PATTERN = r"^(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d{1,6})\d*)? *\z"
 
 
 def conversation_from_dir(name: Column) -> tuple[Column, Column]:
@@ -37,8 +37,7 @@ def parse_log_time(text: Column) -> Column:
 
     Blanks after the time may be missing or several, the hour may have one digit, and
     a fraction may follow the seconds."""
-    parts = [F.regexp_extract(text, LOG_TIME_PATTERN, i) for i in (1, 2, 3)]
-    iso = F.concat(parts[0], F.lit(" "), parts[1], F.lit("."), F.rpad(parts[2], 6, "0"), F.lit("Z"))
+    iso = F.regexp_replace(text, LOG_TIME_PATTERN, "$1 $2.$3Z")
     return F.when(text.rlike(LOG_TIME_PATTERN), iso.try_cast("timestamp"))
 
 

