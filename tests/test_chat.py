@@ -23,6 +23,7 @@ from textquarry.operators.messages import (
     message_json,
     parse_message_json,
 )
+from textquarry.plans.chat_index import ChatIndex, index_messages, search_chat_index
 from textquarry.plans.chat_search import search_messages
 from textquarry.sources.discord import read_discord
 from textquarry.sources.weechat import log_files, read_weechat, weechat_stats
@@ -228,6 +229,18 @@ def test_ranked_search_by_brute_force(messages):
     assert {r.message_id: round(r.score, 9) for r in found} == {i: round(s, 9) for i, s in want.items()}
 
 
+def test_stored_search_equals_full_search(spark, messages, tmp_path):
+    index = ChatIndex(str(tmp_path / "chat"))
+    index_messages(messages, index, files_per_bucket=2)
+    for options in [
+        dict(text="quick brown"), dict(text="run"), dict(text="the"), dict(text="quick quick fox", k=2),
+        dict(text="quick brown", sender="a"), dict(text="fox", channel="#c", server="s", protocol="irc"),
+    ]:
+        want = [(r.message_id, round(r.score, 9)) for r in search_messages(messages, **options).collect()]
+        got = search_chat_index(spark, index, **options).collect()
+        assert [(r.message_id, round(r.score, 9)) for r in got] == want
+
+
 def test_search_filters(messages):
     def ids(**options):
         return [r.message_id for r in search_messages(messages, **options).collect()]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.content_type import content_type
 from textquarry.functions.paths import dir_name, path_tokens
+from textquarry.layout import prepare_session
 from textquarry.operators.filters import bool_filter, index_stats, match_all
 from textquarry.operators.maintenance import delete_under
 from textquarry.plans.corpus_search import search_corpus
@@ -126,8 +127,9 @@ def test_user_filters_come_last(spark, tree):
     assert reason["plain.txt"] == "text" and reason["nul_inside"] == "binary"
 
 
-def test_index_and_search(spark, tree, tmp_path):
+def test_index_and_search(spark, tree, tmp_path, capsys):
     index = CorpusIndex(str(tmp_path / "index"))
+    prepare_session(spark)
     index_tree(spark, tree, index, include_hidden=True)
     found = search_corpus(spark, index, "needle")
     shown = sorted((r.display[len(tree) + 1 :], r.line_no) for r in found.collect())
@@ -146,6 +148,10 @@ def test_index_and_search(spark, tree, tmp_path):
     ]
     whole = search_corpus(spark, index, "needle", use_postings=False)
     assert sorted(map(str, whole.collect())) == sorted(map(str, found.collect()))
+    ids = [r.doc_id for r in index.documents(spark).select("doc_id").collect()]
+    assert len(index.documents(spark).inputFiles()) > 1 and len(set(ids)) == len(ids)
+    found.explain("formatted")
+    assert "In(doc_id" in capsys.readouterr().out
     assert search_corpus(spark, index, "needle", k=3).select("doc_id").distinct().count() == 3
 
     docs = {r.display[len(tree) + 1 :]: r for r in index.documents(spark).collect()}

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 SMALL_INPUT_BYTES = 256 << 20
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Runtime settings this library gains from: id filters of up to the size a search
+    makes reach the Parquet scan value by value, not only as a range."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
+
+
 def durable_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place the cluster names in ``spark.checkpoint.dir``.
     Where that is unset, as in tests on one machine, a temporary folder."""

@@ -17,6 +17,15 @@ def analyze(spark, text: str, analyzer: Callable[[Column], Column]) -> list[str]
     return spark.range(1).select(analyzer(F.lit(text)).alias("terms")).first().terms
 
 
+def message_filters(channel: str, sender: str, protocol: str, server: str) -> list[Column]:
+    """Exact filters on messages; an empty value is no filter."""
+    exact = {"channel_or_person": channel, "protocol": protocol, "server": server}
+    must = [term(F.col(column), value) for column, value in exact.items() if value]
+    if sender:
+        must.append(match_username(F.col("from"), sender))
+    return must
+
+
 def _field_score(tokens: Column, counts: list[Column], stats: Column, field: str) -> Column:
     """BM25 of one analysed field, from the counts of the query terms in it."""
     score = F.lit(0.0)
@@ -44,17 +53,7 @@ def search_messages(
     Word pairs of ``text`` add to the score only. Without ``text`` the newest come
     first. Term statistics are those of all messages, as in an inverted index; they are
     one aggregate row. The search itself is one narrow pass and a top-k."""
-    must = [
-        term(F.col(column), value)
-        for column, value in [
-            ("channel_or_person", channel),
-            ("protocol", protocol),
-            ("server", server),
-        ]
-        if value
-    ]
-    if sender:
-        must.append(match_username(F.col("from"), sender))
+    must = message_filters(channel, sender, protocol, server)
     if not text:
         found = messages.where(bool_filter(must)).withColumn("score", F.lit(0.0))
         order = [F.desc("time"), F.asc(key)]

@@ -74,10 +74,19 @@ def stream_index(
 
 
 def current_documents(log: DataFrame, key: str = "doc_id", sequence: str = "batch") -> DataFrame:
-    """Latest version of each document of a log. Only ids and batch numbers are
-    aggregated; document texts are not moved for it where the winners are few."""
-    winners = log.groupBy(key).agg(F.max(sequence).alias(sequence))
-    return log.join(winners, [key, sequence], "left_semi").drop(sequence)
+    """Latest version of each document of a log.
+
+    Only ids and batch numbers are aggregated, and only documents written more than once
+    take part in the join. They are few next to the log, so that Spark can broadcast
+    them, and texts stay where they are read."""
+    newest = (
+        log.groupBy(key)
+        .agg(F.max(sequence).alias("newest"), F.count("*").alias("n_versions"))
+        .where("n_versions > 1")
+        .select(F.col(key).alias("newest_key"), "newest")
+    )
+    outdated = (F.col(key) == F.col("newest_key")) & (F.col(sequence) < F.col("newest"))
+    return log.join(newest, outdated, "left_anti").drop(sequence)
 
 
 def compact(spark: SparkSession, table: str, target: str) -> None:
