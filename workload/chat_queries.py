@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.chat import conversation_from_dir, parse_log_time
 from textquarry.functions.text import english_terms, plain_terms, shingles
+from textquarry.layout import durable_dir
 from textquarry.operators.filters import match_any_username, match_username
 from textquarry.operators.messages import (
     drop_after_first_bad_line,
@@ -15,6 +16,7 @@ from textquarry.operators.messages import (
     parse_message_json,
 )
 from textquarry.operators.ranking import bm25, collection_stats, term_postings
+from textquarry.plans.chat_index import ChatIndex, index_messages, search_chat_index
 from textquarry.plans.chat_search import search_messages
 from textquarry.sources.discord import parse_discord
 from textquarry.sources.weechat import parse_weechat, weechat_stats
@@ -90,6 +92,16 @@ def _search(**options):
     return query
 
 
+def _stored_search(spark, sf_dir):
+    """The same search over stored postings."""
+    index = ChatIndex(durable_dir(spark, "chat"), plain_terms)
+    index_messages(messages(spark, sf_dir), index)
+    found = search_chat_index(
+        spark, index, SEARCH, sender="ASSISTANT", protocol="irc", server="net.two"
+    )
+    return found.select("message_id", F.col("from").alias("sender"), F.round("score", 6).alias("score"))
+
+
 def _newest(spark, sf_dir):
     found = search_messages(messages(spark, sf_dir), sender="assistant", server="net.one", k=20)
     return found.select("message_id", "time")
@@ -236,6 +248,7 @@ QUERIES = {
     "search_messages_filtered": _search(
         text=SEARCH, sender="ASSISTANT", protocol="irc", server="net.two", k=10, analyzer=plain_terms
     ),
+    "stored_message_search": _stored_search,
     "search_messages_stemmed": _search(text=SEARCH, k=10),
     "newest_messages": _newest,
     "format_messages": _formatted,
@@ -332,6 +345,7 @@ ORACLE = {
     """,
     "search_messages": _search_sql("true", 25),
     "search_messages_filtered": _search_sql("sender = '@Assistant' AND server = 'net.two'", 10),
+    "stored_message_search": _search_sql("sender = '@Assistant' AND server = 'net.two'", 10),
     "newest_messages": f"""
         SELECT message_id, time FROM ({MESSAGES_SQL})
         WHERE sender = '@Assistant' AND server = 'net.one'
