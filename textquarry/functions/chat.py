@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,14 +64,30 @@ def weave_mentions(text: Column, names: Column) -> Column:
     return F.array_join(joined, "")
 
 
-def resolve_mentions(text: Column, users: Column) -> tuple[Column, Column]:
-    """Text with names for mentions, and the names, given a map id -> name.
+def resolve_mentions(
+    text: Column, name_of: Callable[[Column], Column]
+) -> tuple[Column, Column]:
+    """Text with names for mentions, and the names in order, given the lookup of a name
+    by id."""
+    names = F.transform(mention_ids(text), name_of)
+    return weave_mentions(text, names), names
+
 
-    An unknown id has the empty name."""
-    names = F.transform(
-        mention_ids(text), lambda i: F.coalesce(F.try_element_at(users, i), F.lit(""))
+def channel_title(server_type: Column, name: Column) -> Column:
+    """``#name`` on a SERVER, the bare name for a DM; another type fails the job."""
+    unknown = F.concat(F.lit("unknown server type "), F.coalesce(server_type, F.lit("")))
+    return (
+        F.when(server_type == "SERVER", F.concat(F.lit("#"), name))
+        .when(server_type == "DM", name)
+        .otherwise(F.raise_error(unknown))
+    )
+
+
+def addressees(is_server: Column, names: Column) -> Column:
+    """Mentioned names on a SERVER, null without any; always empty for a DM."""
+    return F.when(is_server, F.when(F.size(names) > 0, names)).otherwise(
+        F.array().cast("array<string>")
     )
-    return weave_mentions(text, names), names
 
 
 def time_text(time: Column) -> Column:

@@ -10,6 +10,8 @@ from textquarry.functions.chat import (
     DISCONNECT_LINE,
     SYSTEM_SENDERS,
     addressee,
+    addressees,
+    channel_title,
     mention_ids,
     parse_log_time,
     time_text,
@@ -100,12 +102,7 @@ def resolve_names(
     ``channel_name``) and ``servers`` (``file``, ``server_at``, ``server``,
     ``server_type``). Spark broadcasts the lookup tables where they are small. A server
     that is neither a SERVER nor a DM fails the job."""
-    kind = F.col("server_type")
-    channel = (
-        F.when(kind == "SERVER", F.concat(F.lit("#"), F.col("channel_name")))
-        .when(kind == "DM", F.col("channel_name"))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown server type "), F.coalesce(kind, F.lit("")))))
-    )
+    channel = channel_title(F.col("server_type"), F.col("channel_name"))
     named = channels.join(servers, ["file", "server_at"], "left").select(
         "file", "channel_id", "server", "server_type", channel.alias("channel_or_person")
     )
@@ -114,16 +111,16 @@ def resolve_names(
     )
 
 
-def resolve_mentions(messages: DataFrame, users: DataFrame, key: list[str]) -> DataFrame:
+def join_mentions(messages: DataFrame, users: DataFrame, key: list[str]) -> DataFrame:
     """Names for ``<@id>`` mentions, from ``users`` (``file``, ``user_id``, ``name``).
 
     ``key`` identifies a message. Only messages with a mention take part in the lookup;
     their mentions come back together in order, so a hot user is only a hot lookup key.
     ``to`` is the names for a SERVER (null without any) and empty for a DM."""
     server = F.col("server_type") == "SERVER"
-    plain_to = F.when(~server, F.array().cast("array<string>"))
     with_ids = messages.withColumn("ids", mention_ids(F.col("message")))
-    plain = with_ids.where(F.size("ids") == 0).drop("ids").withColumn("to", plain_to)
+    none = addressees(server, F.array().cast("array<string>"))
+    plain = with_ids.where(F.size("ids") == 0).drop("ids").withColumn("to", none)
     mentioning = with_ids.where(F.size("ids") > 0)
     names = (
         mentioning.select("file", *key, F.posexplode("ids").alias("at", "user_id"))
@@ -135,7 +132,7 @@ def resolve_mentions(messages: DataFrame, users: DataFrame, key: list[str]) -> D
     woven = (
         mentioning.join(names, ["file", *key])
         .withColumn("message", weave_mentions(F.col("message"), F.col("names")))
-        .withColumn("to", F.when(server, F.col("names")).otherwise(F.array().cast("array<string>")))
+        .withColumn("to", addressees(server, F.col("names")))
         .drop("ids", "names")
     )
     return plain.unionByName(woven)

@@ -74,9 +74,9 @@ def search_chat_index(
         return messages.where(F.lit(False)).withColumn("score", F.lit(0.0))
     scored = {}
     for field, terms in query.items():
-        size = index.stats(spark, field).select(F.struct("*").alias("size")).scalar()
+        size = index.stats(spark, field).first()
         postings = index.postings(spark, field)
-        scored[field] = bm25(postings, terms, size["n_docs"], size["avg_length"], key=key)
+        scored[field] = bm25(postings, terms, size.n_docs, size.avg_length, key=key)
     hits = scored["terms"]
     if query["pairs"]:
         # Pairs add to the score of messages with a term, and bring in no others.

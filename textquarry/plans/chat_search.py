@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import english_terms, shingles
@@ -26,12 +26,16 @@ def message_filters(channel: str, sender: str, protocol: str, server: str) -> li
     return must
 
 
-def _field_score(tokens: Column, counts: list[Column], stats: Column, field: str) -> Column:
+def _field_score(tokens: Column, counts: list[Column], stats: Row, field: str) -> Column:
     """BM25 of one analysed field, from the counts of the query terms in it."""
     score = F.lit(0.0)
     for at, tf in enumerate(counts):
         weight = bm25_weight(
-            tf, stats[f"{field}_df_{at}"], F.size(tokens), stats[f"{field}_n"], stats[f"{field}_average"]
+            tf,
+            F.lit(stats[f"{field}_df_{at}"]),
+            F.size(tokens),
+            F.lit(stats[f"{field}_n"]),
+            F.lit(stats[f"{field}_average"]),
         )
         score = score + F.when(tf > 0, weight).otherwise(0.0)
     return score
@@ -81,12 +85,12 @@ def _text_hits(messages, text, must, analyzer) -> DataFrame:
     aggregates = []
     for f in fields:
         length = F.size(f)
-        aggregates.append(F.count_if(length > 0).cast("double").alias(f"{f}_n"))
+        aggregates.append(F.count_if(length > 0).alias(f"{f}_n"))
         aggregates.append(F.avg(F.when(length > 0, length)).alias(f"{f}_average"))
         for at, wanted in enumerate(query[f]):
             has = F.array_contains(f, wanted)
-            aggregates.append(F.count_if(has).cast("double").alias(f"{f}_df_{at}"))
-    stats = analysed.agg(F.struct(*aggregates).alias("stats")).scalar()
+            aggregates.append(F.count_if(has).alias(f"{f}_df_{at}"))
+    stats = analysed.agg(*aggregates).first()
     score = F.lit(0.0)
     for f in fields:
         score = score + _field_score(F.col(f), counts[f], stats, f)

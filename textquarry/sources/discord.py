@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.operators.messages import MESSAGE_COLUMNS, resolve_mentions, resolve_names
+from textquarry.functions.chat import addressees, channel_title, resolve_mentions
+from textquarry.operators.messages import MESSAGE_COLUMNS, join_mentions, resolve_names
 
 EXPORT_SCHEMA = """
     meta STRUCT<
@@ -17,15 +18,83 @@ EXPORT_SCHEMA = """
 """
 
 
+def read_exports(exports: DataFrame) -> DataFrame:
+    """Exports (``file``, ``text``) as ``file``, ``meta`` and ``data``."""
+    parsed = F.from_json("text", EXPORT_SCHEMA, {"mode": "FAILFAST"}).alias("e")
+    return exports.select("file", parsed).select("file", "e.meta", "e.data")
+
+
 def parse_discord(exports: DataFrame) -> DataFrame:
-    """Messages of exports (``file``, ``text``).
-
-    The lookup tables of a file are exploded and joined on equal keys, so a message
-    never carries the whole user table with it. ``message_id`` is the same whenever the
-    same message is loaded again."""
-    read = exports.select(
-        "file", F.from_json("text", EXPORT_SCHEMA, {"mode": "FAILFAST"}).alias("e")
-    ).select("file", "e.meta", "e.data")
+    """Messages of exports (``file``, ``text``), with all names looked up in the file.
+
+    A file is one row and brings its own users, channels and servers, so nothing is
+    shuffled. Names are put into the messages before these are exploded, so that no
+    message carries the user table with it. ``message_id`` is the same whenever the same
+    message is loaded again. See ``parse_discord_tables`` for the same by joins."""
+    users = F.col("meta.users")
+    files = read_exports(exports).select(
+        users.alias("users"),
+        F.transform("meta.userindex", lambda i: _name_of(users, i)).alias("authors"),
+        F.col("meta.servers").alias("servers"),
+        F.col("meta.channels").alias("channels"),
+        "data",
+    )
+    channels = files.select(
+        "users", "authors", "servers", "channels", F.explode_outer("data").alias("channel_id", "posts")
+    ).where(F.col("channel_id").isNotNull())
+    channel = F.try_element_at("channels", F.col("channel_id"))
+    server = F.get("servers", F.coalesce(channel["server"], F.lit(0)))
+    named = channels.select(
+        "users",
+        "authors",
+        "channel_id",
+        server["name"].alias("server"),
+        channel_title(server["type"], F.coalesce(channel["name"], F.lit(""))).alias("title"),
+        (server["type"] == "SERVER").alias("is_server"),
+        "posts",
+    )
+
+    def message(post):
+        text, names = resolve_mentions(
+            F.coalesce(post["value"]["m"], F.lit("")), lambda i: _name_of(F.col("users"), i)
+        )
+        author = F.get("authors", F.coalesce(post["value"]["u"], F.lit(0)))
+        return F.struct(
+            post["key"].alias("post_id"),
+            F.timestamp_millis(F.coalesce(post["value"]["t"], F.lit(0))).alias("time"),
+            F.coalesce(author, F.lit("")).alias("from"),
+            addressees(F.col("is_server"), names).alias("to"),
+            text.alias("message"),
+        )
+
+    rows = named.select(
+        "channel_id",
+        "server",
+        F.col("title").alias("channel_or_person"),
+        F.explode_outer(F.transform(F.map_entries("posts"), message)).alias("m"),
+    ).where(F.col("m").isNotNull())
+    return _messages(rows.select("channel_id", "server", "channel_or_person", "m.*"))
+
+
+def _name_of(users, user_id):
+    return F.coalesce(F.try_element_at(users, user_id)["name"], F.lit(""))
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.concat_ws("-", F.lit("discord"), "server", "channel_id", "post_id").alias("message_id"),
+        *[
+            F.lit("discord").alias("protocol") if c == "protocol" else F.col(f"`{c}`")
+            for c in MESSAGE_COLUMNS
+        ],
+    )
+
+
+def parse_discord_tables(exports: DataFrame) -> DataFrame:
+    """The same from lookup tables: those of all files are exploded and joined on equal
+    keys. Made for exports with very many users, where a look into the file's own user
+    map for each message would be slow, and for lookup tables kept apart."""
+    read = read_exports(exports)
     messages = (
         read.select("file", F.explode_outer("data").alias("channel_id", "posts"))
         .select("file", "channel_id", F.explode_outer("posts").alias("post_id", "post"))
@@ -61,15 +130,10 @@ def parse_discord(exports: DataFrame) -> DataFrame:
     servers = read.select("file", F.posexplode_outer("meta.servers").alias("server_at", "s")).select(
         "file", "server_at", F.col("s.name").alias("server"), F.col("s.type").alias("server_type")
     )
-    named = resolve_names(messages, authors, channels, servers)
-    resolved = resolve_mentions(named, users, ["channel_id", "post_id"])
-    return resolved.select(
-        F.concat_ws("-", F.lit("discord"), "server", "channel_id", "post_id").alias("message_id"),
-        *[
-            F.lit("discord").alias("protocol") if c == "protocol" else F.col(f"`{c}`")
-            for c in MESSAGE_COLUMNS
-        ],
+    named = resolve_names(messages, authors, channels, servers).withColumn(
+        "from", F.coalesce("from", F.lit(""))
     )
+    return _messages(join_mentions(named, users, ["channel_id", "post_id"]))
 
 
 def read_discord(spark: SparkSession, path: str) -> DataFrame:

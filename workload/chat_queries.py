@@ -18,7 +18,7 @@ from textquarry.operators.messages import (
 from textquarry.operators.ranking import bm25, collection_stats, term_postings
 from textquarry.plans.chat_index import ChatIndex, index_messages, search_chat_index
 from textquarry.plans.chat_search import search_messages
-from textquarry.sources.discord import parse_discord
+from textquarry.sources.discord import parse_discord, parse_discord_tables
 from textquarry.sources.weechat import parse_weechat, weechat_stats
 from workload.tables import MESSAGES_SQL, messages, table
 
@@ -73,14 +73,9 @@ def _terms(analyzer):
 def _bm25(spark, sf_dir):
     rows = messages(spark, sf_dir)
     terms = plain_terms(F.col("message"))
-    stats = collection_stats(rows, terms)
-    scored = bm25(
-        term_postings(rows, terms, "message_id"),
-        TERMS,
-        stats.select("n_docs").scalar(),
-        stats.select("avg_length").scalar(),
-        key="message_id",
-    )
+    size = collection_stats(rows, terms).first()
+    postings = term_postings(rows, terms, "message_id")
+    scored = bm25(postings, TERMS, size.n_docs, size.avg_length, key="message_id")
     return scored.select("message_id", F.round("score", 6).alias("score"))
 
 
@@ -231,11 +226,14 @@ def _exports(spark, sf_dir):
     )
 
 
-def _discord(spark, sf_dir):
-    return parse_discord(_exports(spark, sf_dir)).select(
-        "message_id", "server", "channel_or_person", "time", "from",
-        F.to_json("to").alias("addressees"), "message",
-    )
+def _discord(parse):
+    def query(spark, sf_dir):
+        return parse(_exports(spark, sf_dir)).select(
+            "message_id", "server", "channel_or_person", "time", "from",
+            F.to_json("to").alias("addressees"), "message",
+        )
+
+    return query
 
 
 QUERIES = {
@@ -259,7 +257,8 @@ QUERIES = {
     "log_lines_cut": _cut_lines,
     "log_times": _log_times,
     "conversation_names": _conversations,
-    "discord_exports": _discord,
+    "discord_exports": _discord(parse_discord),
+    "discord_exports_by_joins": _discord(parse_discord_tables),
 }
 
 
@@ -317,6 +316,17 @@ _LOG_SQL = """
     WHERE role <> 'system'
 """
 
+_EXPORT_SQL = """
+    SELECT 'discord-srv-' || conv_id || '-' || turn AS message_id, 'srv' AS server,
+           CASE role WHEN 'system' THEN role ELSE '#' || role END AS channel_or_person,
+           make_timestamp(((1704067200 + conv_id) * 1000 + turn) * 1000) AS time,
+           role AS "from",
+           CASE role WHEN 'system' THEN '[]' WHEN 'assistant' THEN '["<@9>","Nine",""]' END
+               AS addressees,
+           text || CASE role WHEN 'user' THEN '' ELSE '@<@9> and @Nine, @.' END AS message
+    FROM conversations
+"""
+
 ORACLE = {
     "username_match": f"""
         SELECT message_id, sender AS "from" FROM ({MESSAGES_SQL})
@@ -398,14 +408,6 @@ ORACLE = {
                regexp_extract(url, '#.*') AS channel_or_person
         FROM pages
     """,
-    "discord_exports": """
-        SELECT 'discord-srv-' || conv_id || '-' || turn AS message_id, 'srv' AS server,
-               CASE role WHEN 'system' THEN role ELSE '#' || role END AS channel_or_person,
-               make_timestamp(((1704067200 + conv_id) * 1000 + turn) * 1000) AS time,
-               role AS "from",
-               CASE role WHEN 'system' THEN '[]' WHEN 'assistant' THEN '["<@9>","Nine",""]' END
-                   AS addressees,
-               text || CASE role WHEN 'user' THEN '' ELSE '@<@9> and @Nine, @.' END AS message
-        FROM conversations
-    """,
+    "discord_exports": _EXPORT_SQL,
+    "discord_exports_by_joins": _EXPORT_SQL,
 }
