@@ -151,7 +151,7 @@ def test_index_and_search(spark, tree, tmp_path, capsys):
     ids = [r.doc_id for r in index.documents(spark).select("doc_id").collect()]
     assert len(index.documents(spark).inputFiles()) > 1 and len(set(ids)) == len(ids)
     found.explain("formatted")
-    assert "In(doc_id" in capsys.readouterr().out
+    assert "In(doc_key" in capsys.readouterr().out
     assert search_corpus(spark, index, "needle", k=3).select("doc_id").distinct().count() == 3
 
     docs = {r.display[len(tree) + 1 :]: r for r in index.documents(spark).collect()}

@@ -17,14 +17,23 @@ def posting_bucket(token: Column) -> Column:
 def write_postings(
     postings: DataFrame,
     path: str,
-    files_per_bucket: int = 1,
+    files_per_bucket: int | None = None,
     token: str = "trigram",
     key: str = "doc_id",
     mode: str = "overwrite",
 ) -> None:
-    """Store postings by bucket, sorted by token, so that a search reads only the buckets
-    and row groups of its tokens. A bucket is spread over ``files_per_bucket`` tasks by
-    document, so a bucket with a very common token is no hot spot."""
+    """Store postings so that a search reads only the row groups and pages of its tokens.
+
+    By default each task sorts the postings of the texts it read and writes them as one
+    segment. Nothing is shuffled: postings take several times the space of their texts.
+    Segments of new texts are simply appended.
+
+    With ``files_per_bucket`` postings are shuffled into hash buckets of the token, so
+    that a search opens a few files of the table only. A bucket is spread over that many
+    tasks by document, so a bucket with a very common token is no hot spot."""
+    if files_per_bucket is None:
+        postings.sortWithinPartitions(token).write.mode(mode).parquet(path)
+        return
     bucket = posting_bucket(F.col(token))
     part = F.pmod(F.xxhash64(key), F.lit(files_per_bucket)).cast("int")
     (

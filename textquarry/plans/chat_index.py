@@ -1,8 +1,8 @@
 """Ranked search over stored postings of chat messages.
 
 ``search_messages`` reads all messages for each search. For large collections this plan
-stores, once, postings of terms and of word pairs; a search then reads only the buckets
-and row groups of its own terms, and whole messages only for its result.
+stores, once, postings of terms and of word pairs; a search then reads only the row groups
+of its own terms, and whole messages only for its result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ class ChatIndex:
         return spark.read.parquet(f"{self.path}/{field}_stats")
 
 
-def index_messages(messages: DataFrame, index: ChatIndex, files_per_bucket: int = 1) -> None:
+def index_messages(
+    messages: DataFrame, index: ChatIndex, files_per_bucket: int | None = None
+) -> None:
     """Store messages, then the postings and sizes of both fields."""
     spark = messages.sparkSession
     messages.write.mode("overwrite").parquet(f"{index.path}/messages")
