@@ -23,6 +23,7 @@ from textquarry.operators.messages import (
     message_json,
     parse_message_json,
 )
+from textquarry.operators.ranking import term_postings
 from textquarry.plans.chat_index import ChatIndex, index_messages, search_chat_index
 from textquarry.plans.chat_search import search_messages
 from textquarry.sources.discord import read_discord
@@ -180,6 +181,14 @@ def test_terms(spark):
     assert (row.s, row.s1, row.s0, row.n) == (["one two", "two three"], [], [], None)
 
 
+def test_term_postings(spark):
+    texts = ["b a b c", "", "x", "é é é a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string")
+    got = sorted(map(tuple, term_postings(rows, words(F.col("t"))).collect()))
+    want = [(i, len(t.split()), w, t.split().count(w)) for i, t in enumerate(texts) for w in set(t.split())]
+    assert got == sorted(want)
+
+
 def test_usernames(spark):
     names = ["@Ann", "+ann", "ann", "%@ann", "@", "", "+"]
     rows = spark.createDataFrame([(n,) for n in names], "n string")
