@@ -66,7 +66,9 @@ def distinct_trigrams(texts: pa.Array) -> pa.Array:
             counts[at] = len(packed)
             sets.append(packed)
     packed = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    codes = np.stack([packed >> mid, packed >> low & mask, packed & mask], 1).astype(np.uint32)
+    codes = np.empty((len(packed), 3), np.uint32)
+    for place, part in enumerate((packed >> mid, packed >> low & mask, packed & mask)):
+        codes[:, place] = part
     # A gram's length in UTF-8 gives its place in the joined text of all grams.
     sizes = (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).sum(1)
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

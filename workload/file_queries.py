@@ -26,12 +26,15 @@ from textquarry.operators.filters import (
 )
 from textquarry.operators.grep import grep
 from textquarry.operators.maintenance import (
+    append,
     bulk_lines,
+    create_index,
     delete_summary,
     delete_under,
     drop_missing,
     upsert,
     with_fresh_ids,
+    write_documents,
 )
 from textquarry.plans.index_corpus import files_with_reason
 from textquarry.sources.archives import FILES_SCHEMA, expand_archives
@@ -250,6 +253,30 @@ def _append_twice(spark, sf_dir):
     )
 
 
+def _create_and_append(spark, sf_dir):
+    """A table is created, loaded, and created again, which must leave it alone."""
+    path = durable_dir(spark, "messages")
+    schema = "conv_id bigint, turn bigint, role string, text string, message_id string"
+    create_index(spark, path, schema)
+    append(table(spark, sf_dir, "conversations"), path)
+    create_index(spark, path, schema)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("role").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("message_id").alias("n_ids")
+    )
+
+
+def _write_documents(spark, sf_dir):
+    """Documents stored in files of at most 100 rows, and read back."""
+    path = durable_dir(spark, "documents")
+    write_documents(documents(spark, sf_dir, "doc_id", "lang", "text"), path, records_per_file=100)
+    stored = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    per_file = stored.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c"))
+    return per_file.agg(
+        F.sum("n").alias("n_docs"), F.sum("c").alias("n_chars"), (F.max("n") <= 100).alias("bounded")
+    )
+
+
 def _missing(mode: str):
     def query(spark, sf_dir):
         index = page_files(spark, sf_dir).select(
@@ -307,6 +334,8 @@ QUERIES = {
     "scan_tree_and_grep": _scan_tree,
     "stream_index": _stream_index,
     "bulk_lines": _bulk,
+    "write_documents": _write_documents,
+    "create_and_append": _create_and_append,
     "upsert_documents": _upsert,
     "append_twice": _append_twice,
     "drop_missing_files": _missing("file"),
@@ -436,6 +465,13 @@ ORACLE = {
         UNION ALL
         SELECT CAST(to_json({'data': html, 'name': url}) AS VARCHAR) AS value FROM pages
     """,
+    "write_documents": """
+        SELECT count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars, true AS bounded
+        FROM documents
+    """,
+    "create_and_append": """
+        SELECT role, count(*) AS n_rows, count(*) AS n_ids FROM conversations GROUP BY role
+    """,
     "upsert_documents": """
         SELECT doc_id, lang,
                CASE WHEN lang <> 'fr' THEN text
