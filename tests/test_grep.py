@@ -195,6 +195,22 @@ def test_bad_patterns(pattern):
         compile_pattern(pattern)
 
 
+def test_engine_choice():
+    linear = ["abc", "a?b{2,3}[cd]", "(?:ab|cd)?", "the (cat|dog) sat", r"\bword\b", "(a)b{4}"]
+    unsafe = ["a*", "x.*y", "(ab)+", "(?:a?b?){20}", "a?a?a?a?a?a{5}", "[a-z]+=", "a{3,}"]
+    assert [p for p in linear if compile_pattern(p).may_backtrack] == []
+    assert [p for p in unsafe if not compile_pattern(p).may_backtrack] == []
+
+
+def test_one_very_long_line(spark):
+    """Minutes or hours for a backtracking engine; well under a second for a linear one."""
+    line = "the ab " * 300_000
+    docs = spark.createDataFrame([(1, "n", line + "\nthe zz")], "doc_id int, name string, data string")
+    assert [r.line_no for r in grep(docs, "the.*zz").collect()] == [2]
+    assert grep(docs, "(?:[a-z]+ )+zz").select("line_no").first().line_no == 2
+    assert grep_files(docs, "b.*b.*zz").count() == 0
+
+
 ATOMS = [
     "a", "b", "k", "S", "é", "ß", "日", ".", "[ab]", "[^a]", "[k-t]", "(?i:k)", "(?i:[^s])", r"\w", r"\W",
     r"\d", r"\D", r"\s", r"\S", r"\b", r"\B", "^", "$", "[[:alpha:]]", "[[:^digit:]k]", r"[^\W\d]", r"\.",

@@ -176,10 +176,11 @@ class LinePattern:
 
     @property
     def may_backtrack(self) -> bool:
-        """True if Java's engine could run very long or recurse very deeply: an unbounded
-        repeat of a group of several tokens, or several unbounded repeats in one pattern."""
-        open_repeats, opened = 0, []
-        group = (0, 0)
+        """True if Java's engine could need more than linear time in the length of a
+        line, or very deep recursion: the pattern has an unbounded repeat, repeats a
+        group of several tokens, or has many optional parts. One long line (packed code,
+        encoded data) would otherwise hold up a task for hours."""
+        optional, opened, group = 0, [], (0, 0)
         for at, token in enumerate(self.tokens):
             java = token if isinstance(token, str) else token.java
             if java == "(?:":
@@ -188,10 +189,11 @@ class LinePattern:
                 group = (opened.pop(), at)
             elif _REPEAT.fullmatch(java):
                 most = _most_repeats(java)
-                if group[1] == at - 1 and group[1] - group[0] > 2 and most > 50:
+                several = group[1] == at - 1 and group[1] - group[0] > 2
+                if most == math.inf or (several and most > 1):
                     return True
-                open_repeats += most == math.inf
-        return open_repeats > 1
+                optional += not re.fullmatch(r"\{\d+\}\??", java)
+        return optional > 4
 
 
 def _most_repeats(quantifier: str) -> float:
