@@ -234,9 +234,10 @@ def _bulk(spark, sf_dir):
 def _upsert(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     french = docs.where(F.col("lang") == "fr")
-    first = french.withColumn("text", F.upper("text")).withColumn("sequence", F.lit(1))
+    # Not upper(): Java makes "SS" of "ß", the SQL engine keeps it.
+    first = french.withColumns({"text": F.concat(F.lit("first "), "text"), "sequence": F.lit(1)})
     second = french.where(F.length("text") > 500).withColumns(
-        {"text": F.lower("text"), "sequence": F.lit(2)}
+        {"text": F.concat(F.lit("second "), "text"), "sequence": F.lit(2)}
     )
     fresh = docs.where(F.col("lang") == "de").withColumns(
         {"doc_id": F.col("doc_id") + 10_000_000, "sequence": F.lit(1)}
@@ -475,7 +476,8 @@ ORACLE = {
     "upsert_documents": """
         SELECT doc_id, lang,
                CASE WHEN lang <> 'fr' THEN text
-                    WHEN length(text) > 500 THEN lower(text) ELSE upper(text) END AS text
+                    WHEN length(text) > 500 THEN 'second ' || text
+                    ELSE 'first ' || text END AS text
         FROM documents
         UNION ALL
         SELECT doc_id + 10000000 AS doc_id, lang, text FROM documents WHERE lang = 'de'
