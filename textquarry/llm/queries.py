@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, simhash, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_toxicity": toxicity.query,
     "op10_simhash": simhash.query,
 }
 
