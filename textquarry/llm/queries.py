@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash, toxicity
+from . import bpe, decontaminate, exact_dedup, main_text, simhash, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op3_decontaminate": decontaminate.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_toxicity": toxicity.query,
+    "op7_warc": warc.query,
+    "op9_main_text": main_text.query,
     "op10_simhash": simhash.query,
 }
 
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
