@@ -41,14 +41,14 @@ def test_what_is_left_out(extra, inside):
 def test_consensus_of_a_host(spark):
     """On one page the comments are longer than the article; the host's other pages outvote it."""
     def make(n, article, remarks):
-        return page(f'<div class="c1 n{n}"><p>{article}</p></div><div class="c2"><p>{remarks}</p></div>')
+        return page(f'<div class="ca n{n}"><p>{article}</p></div><div class="cb"><p>{remarks}</p></div>')
 
     rows = [(k, f"http://Host.org:80/{k}", make(k, LONG * 3, "Fine."), "x") for k in range(6)]
     rows += [(7, "http://host.org/7", make(7, LONG, LONG * 5), "x"), (8, "http://other.org/8", make(8, LONG, LONG * 5), "x")]
     rows += [(9, None, None, "x"), (10, "no url", "", "x"), (11, "http://host.org/", "<p>bare text", "x"), (11, "http://host.org/", "<p>bare text", "x"), (None, "http://host.org/z", "<div hidden>x</div>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
     paths = {r.host: r.paths for r in m.host_paths(pages).collect()}
-    assert paths["host.org"][0] == "html>body>div.c1.n#"
+    assert paths["host.org"][0] == "html>body>div.ca.n#"
     found = m.main_text(pages).collect()
     assert len(found) == len(rows)
     by = {r.page_id: r.text for r in found}

@@ -70,7 +70,7 @@ class Node:
 def parse(page: str) -> list[tuple[Node, str, int]]:
     """Blocks of text in page order: element, text with single spaces, characters in links."""
     root = Node("html", "", None)
-    stack, blocks, text = [root], [], []
+    stack, blocks, text = [root, Node("body", "", root)], [], []
     linked = in_link = position = 0
 
     def flush():
@@ -107,23 +107,23 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         flush()
         in_link = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 1, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
-        if tag == "html":
+        if tag in ("html", "head"):
             continue
         if stack[-1].tag == "p" or tag in _HEADINGS and stack[-1].tag in _HEADINGS:
             stack.pop()
         if tag in _ENDS:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 1, -1):
                 if stack[k].tag in _ENDS[tag]:
                     del stack[k:]
                 elif stack[k].tag in _ENCLOSING:
                     break
         elif tag == "body":
-            stack = stack[:1]
+            stack = [root]
         if tag not in _VOID:
             stack.append(Node(tag, attributes, stack[-1]))
             if attributes.endswith("/") and tag not in ("p", "div"):
