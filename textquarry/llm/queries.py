@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, main_text, simhash, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, main_text, sanitise, simhash, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op6_toxicity": toxicity.query,
     "op7_warc": warc.query,
+    "op8_sanitise": sanitise.query,
     "op9_main_text": main_text.query,
     "op10_simhash": simhash.query,
 }
