@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, main_text, sanitise, simhash, toxicity, warc
+from . import bpe, brown, decontaminate, exact_dedup, main_text, sanitise, simhash, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op3_decontaminate": decontaminate.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_brown": brown.query,
     "op6_toxicity": toxicity.query,
     "op7_warc": warc.query,
     "op8_sanitise": sanitise.query,
