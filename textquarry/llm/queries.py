@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, decontaminate, exact_dedup, main_text, sanitise, simhash, toxicity, warc
+from . import bpe, brown, decontaminate, exact_dedup, main_text, quality, sanitise, simhash, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_quality": quality.query,
     "op3_decontaminate": decontaminate.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_brown": brown.query,
