@@ -14,10 +14,12 @@ from textquarry.functions.content_type import content_type
 from textquarry.functions.paths import dir_name, path_tokens
 from textquarry.layout import prepare_session
 from textquarry.operators.filters import bool_filter, index_stats, match_all
-from textquarry.operators.maintenance import delete_under
+from textquarry.operators.documents import to_documents
+from textquarry.operators.maintenance import delete_under, drop_missing
 from textquarry.plans.corpus_search import search_corpus
-from textquarry.plans.index_corpus import CorpusIndex, files_with_reason, index_documents, index_tree
+from textquarry.plans.index_corpus import CorpusIndex, create_corpus_index, files_with_reason, index_tree, update_index
 from textquarry.sources.files import list_tree, scan_files
+from textquarry.streaming.stream_index import changed_paths, files_to_documents
 
 LIMIT = 10_485_760
 
@@ -94,7 +96,7 @@ def test_plain_scan(spark, tree):
 
 
 def test_drop_reasons(spark, tree):
-    rows = files_with_reason(spark, tree, include_hidden=True).drop("content").collect()
+    rows = files_with_reason(spark, tree).drop("content").collect()
     reason = {r.path[len(tree) + 1 :]: r.drop_reason for r in rows}
     assert {k: v for k, v in reason.items() if v is not None} == {
         "link.txt": "special",
@@ -108,7 +110,7 @@ def test_drop_reasons(spark, tree):
         "bad.zip": "special",
     }
     assert {"sub/.git", "at_limit", "nul_beyond", "empty.txt", "c.tar.gz/t/one.txt"} <= reason.keys()
-    stats = index_stats(files_with_reason(spark, tree, include_hidden=True)).first()
+    stats = index_stats(files_with_reason(spark, tree)).first()
     assert (stats.indexed, stats.skipped) == (len(rows) - 9, 9)
 
 
@@ -130,7 +132,7 @@ def test_user_filters_come_last(spark, tree):
 def test_index_and_search(spark, tree, tmp_path, capsys):
     index = CorpusIndex(str(tmp_path / "index"))
     prepare_session(spark)
-    index_tree(spark, tree, index, include_hidden=True)
+    index_tree(spark, tree, index)
     found = search_corpus(spark, index, "needle")
     shown = sorted((r.display[len(tree) + 1 :], r.line_no) for r in found.collect())
     assert shown == [
@@ -166,7 +168,10 @@ def test_index_and_search(spark, tree, tmp_path, capsys):
     assert delete_under(index.documents(spark), f"{tree}/plain.txt").count() == len(docs)
     assert delete_under(index.documents(spark), tree[:-1]).count() == len(docs)
     assert delete_under(index.documents(spark), tree + "\0").count() == 0
-    index_documents(spark, index, files_per_bucket=3)
+    old = index.documents(spark)
+    index = CorpusIndex(str(tmp_path / "bucketed"))
+    create_corpus_index(spark, index)
+    update_index(spark, index, old, files_per_bucket=3)
     assert search_corpus(spark, index, "needle").count() == len(shown)
 
 
@@ -249,3 +254,94 @@ def test_bool_filter(spark):
     assert kept(must=[x > 0], should=[x > 1]) == [1, 2, 3]
     assert kept(should=[x > 1, x == 0]) == [0, 2, 3]
     assert kept(should=[x > 0, x > 1, x > 2], minimum=2) == [2, 3]
+
+
+def test_archives_of_any_size_and_depth(spark, tmp_path):
+    """What the batch scan finds: large archives, deep ones, damaged members, odd names."""
+    root = tmp_path / "root"
+    (root / "pkg").mkdir(parents=True)
+    large = io.BytesIO()
+    with zipfile.ZipFile(large, "w", zipfile.ZIP_STORED) as archive:
+        archive.writestr("pad.bin", b"\0" * (11 << 20))
+        archive.writestr("m.txt", b"member")
+    (root / "large.zip").write_bytes(large.getvalue())
+    deep = b"deepest"
+    for _ in range(12):
+        deep = tarred({"in": deep})
+    (root / "deep.tar").write_bytes(deep)
+    damaged = io.BytesIO()
+    with zipfile.ZipFile(damaged, "w") as archive:
+        archive.writestr("bad", b"a" * 5_000, zipfile.ZIP_LZMA)
+        archive.writestr("good", b"good")
+    data = bytearray(damaged.getvalue())
+    data[40:60] = b"\xff" * 20
+    (root / "damaged.zip").write_bytes(data)
+    (root / "tar_in.zip.gz").write_bytes(gzip.compress(zipped({"x": b"zip in gzip"})))
+    for name in ("pkg/__init__.py", ".travis.yml", "empty"):
+        (root / name).write_bytes(b"")
+    rows = files_with_reason(spark, str(root)).collect()
+    found = {r.path[len(str(root)) + 1 :]: (r.drop_reason, r.content and bytes(r.content)) for r in rows}
+    assert found["large.zip/m.txt"] == (None, b"member") and found["large.zip/pad.bin"] == ("size", None)
+    assert found["deep.tar" + "/in" * 12] == (None, b"deepest")
+    assert found["damaged.zip/bad"] == ("special", None) and found["damaged.zip/good"] == (None, b"good")
+    assert found["tar_in.zip.gz/x"] == (None, b"zip in gzip")
+    assert {"pkg/__init__.py", ".travis.yml", "empty"} <= found.keys()
+
+    # The stream reads the same bytes from rows.
+    streamed = files_to_documents(spark.read.format("binaryFile").load([str(root / "large.zip"), str(root / "deep.tar"), str(root / "damaged.zip"), str(root / "tar_in.zip.gz")]))
+    batch = to_documents(files_with_reason(spark, str(root)).where("drop_reason IS NULL AND container IS NOT NULL"))
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, batch.collect()))
+
+
+def test_missing_archives_take_their_members(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for name in ("s.zip", "t.zip"):
+        (root / name).write_bytes(zipped({"m.txt": name.encode(), "d/n.txt": b"x"}))
+    (root / "nul").write_bytes(b"\0")
+    index = CorpusIndex(str(tmp_path / "index"))
+    index_tree(spark, str(root), index)
+    assert changed_paths(index.seen(spark), list_tree(spark, str(root))).count() == 0
+    os.remove(root / "t.zip")
+    docs, listing = index.documents(spark), list_tree(spark, str(root))
+    for mode in ("file", "directory"):
+        assert {r.display.split("/")[-1] for r in drop_missing(docs, listing, mode).collect()} == {"m.txt", "n.txt"}
+        assert all("s.zip" in r.display for r in drop_missing(docs, listing, mode).collect())
+    (root / "new").write_text("new")
+    assert [r.path for r in changed_paths(index.seen(spark), list_tree(spark, str(root))).collect()] == [f"{root}/new"]
+
+
+def _docs(spark, texts):
+    rows = spark.createDataFrame(list(texts.items()), "path string, text string")
+    return to_documents(rows.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.col("text").cast("binary").alias("content")))
+
+
+def test_stored_index_is_maintained(spark, tmp_path):
+    index = CorpusIndex(str(tmp_path / "index"))
+    create_corpus_index(spark, index)
+
+    def hits(pattern, k=None):
+        return sorted(r.display for r in search_corpus(spark, index, pattern, k=k).collect())
+
+    assert hits("needle") == hits("needle", 5) == []
+    update_index(spark, index, _docs(spark, {"/a": "a needle", "/b": "hay", "/c": "straw"}))
+    update_index(spark, index, _docs(spark, {"/d": "zebra needle"}))
+    assert hits("needle") == hits("needle", 9) == ["/a", "/d"]
+    assert hits("zebra", 1) == ["/d"]
+    update_index(spark, index, _docs(spark, {"/a": "nothing", "/b": "needle now"}))
+    assert hits("needle") == hits("needle", 9) == ["/b", "/d"]
+    update_index(spark, index, gone=_docs(spark, {"/d": ""}))
+    assert hits("needle") == hits("needle", 9) == ["/b"] and hits("zebra", 1) == []
+
+    # Counts and sizes are those of an index built at once.
+    once = CorpusIndex(str(tmp_path / "once"))
+    create_corpus_index(spark, once)
+    update_index(spark, once, index.documents(spark))
+    assert sorted(map(tuple, index.frequency(spark).collect())) == sorted(map(tuple, once.frequency(spark).collect()))
+    assert index.size(spark).first() == once.size(spark).first()
+
+    # A step that did not finish is not seen.
+    _docs(spark, {"/x": "needle"}).write.parquet(index.place("documents", index.last_batch(spark) + 1))
+    assert hits("needle") == ["/b"]
+    update_index(spark, index, _docs(spark, {"/y": "y needle"}))
+    assert hits("needle") == ["/b", "/y"]

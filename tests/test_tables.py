@@ -35,7 +35,7 @@ def test_create_index_twice(spark, tmp_path):
     path = str(tmp_path / "docs")
     create_index(spark, path, DOCUMENT_SCHEMA)
     spark.createDataFrame(
-        [("1", 1, "n", "p", "d", None, "text")], DOCUMENT_SCHEMA
+        [("1", 1, "f", "n", "p", "d", None, "text")], DOCUMENT_SCHEMA
     ).write.mode("append").parquet(path)
     create_index(spark, path, DOCUMENT_SCHEMA)
     assert spark.read.parquet(path).count() == 1

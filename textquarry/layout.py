@@ -1,14 +1,16 @@
-"""Where intermediate tables go, and how small inputs are spread."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SMALL_INPUT_BYTES = 256 << 20
+_made: list[str] = []
 
 
 def prepare_session(spark: SparkSession) -> None:
@@ -18,28 +20,30 @@ def prepare_session(spark: SparkSession) -> None:
 
 
 def durable_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the cluster names in ``spark.checkpoint.dir``.
-    Where that is unset, as in tests on one machine, a temporary folder."""
+    """A fresh folder in the shared place the cluster names in ``spark.checkpoint.dir``,
+    deleted when the driver ends. Where that is unset, as in tests on one machine, a
+    temporary folder is made and set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="textquarry-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the size of a result, from file sizes and the plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input that comes in fewer pieces (one file
-    with one row group is one task). Inputs over 256 MB are left as they are read: they
-    have enough pieces, and are not shuffled for this.
-
-    Rows are spread by seeded random numbers, not by a key, because Spark moves no
-    filter below such an exchange: costly filters then run on all cores."""
-    if estimated_bytes(df) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.rand(0))
+        shared = "file://" + tempfile.mkdtemp(prefix="textquarry-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    if not _made:
+        atexit.register(_delete_made)
+    _made.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder and read again, so that its size is known."""
+    place = durable_dir(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def _delete_made() -> None:
+    for place in _made:
+        with contextlib.suppress(Exception):
+            files, inside = fs.FileSystem.from_uri(place)
+            files.delete_dir(inside)

@@ -1,8 +1,8 @@
 """Line search: matching lines, matching files, printed form and summary.
 
 Everything here is narrow: a text is tested, split into lines and filtered where it is
-read. No operator shuffles but :func:`search_summary` (one row) and
-:func:`grep_files` for the few patterns that need lines of one text brought together.
+read. No operator shuffles but :func:`search_summary` (one row). On RE2, one function per
+Arrow batch splits and matches, so only hits come back and no row is made per line.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import functools
 import operator
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textquarry.functions.grams import required_literals
 from textquarry.functions.patterns import LinePattern, compile_pattern
@@ -57,6 +59,66 @@ def split_lines(docs: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     )
 
 
+def _place_regexes(pattern: LinePattern) -> dict[tuple[bool, bool], str]:
+    """The regex for a line by whether it is the text's first and its last; one for all
+    lines, under (False, False), if the pattern has no text anchor."""
+    places = [(a, b) for a in (False, True) for b in (False, True)]
+    places = places if pattern.has_text_anchor else places[:1]
+    return {(a, b): pattern.re2_line_regex(first=a, last=b) for a, b in places}
+
+
+def _hits_of(texts: pa.Array, regexes: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Matching lines of a batch of texts: index of the text, line number, line."""
+    pieces = pc.split_pattern(texts, "\n")
+    lines, parent = pc.list_flatten(pieces), pc.list_parent_indices(pieces).to_numpy()
+    counts = np.bincount(parent, minlength=len(texts)) if len(parent) else np.zeros(len(texts), int)
+    number = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+    first, last = number == 1, number == counts[parent]
+    empty = pc.equal(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False)
+    real = ~(last & empty)
+    found = np.zeros(len(parent), bool)
+    for (at_first, at_last), regex in regexes.items():
+        where = real & (first == at_first) & (last == at_last) if len(regexes) > 1 else real
+        at = np.flatnonzero(where)
+        held = lines if len(at) == len(parent) else lines.take(pa.array(at))
+        test = pc.match_substring_regex(held, pattern=regex)
+        found[at[test.to_numpy(zero_copy_only=False)]] = True
+    at = np.flatnonzero(found)
+    return parent[at], number[at], lines.take(pa.array(at))
+
+
+def _re2_lines(docs: DataFrame, pattern: LinePattern, text: str, keep: Sequence[str]) -> DataFrame:
+    """``keep``, ``line_no`` and ``line`` of every line that RE2 matches."""
+    regexes = _place_regexes(pattern)
+
+    def run(batches):
+        for batch in batches:
+            parent, number, line = _hits_of(batch.column(len(keep)), regexes)
+            if len(parent):
+                taken = [batch.column(k).take(pa.array(parent)) for k in range(len(keep))]
+                columns = [*taken, pa.array(number, pa.int32()), line]
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "line_no", "line"])
+
+    fields = [docs.schema[k] for k in keep]
+    fields += [T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())]
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, T.StructType(fields))
+
+
+def _re2_texts(docs: DataFrame, pattern: LinePattern, text: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` of every text with a line that RE2 matches, once a text."""
+    regexes = _place_regexes(pattern)
+
+    def run(batches):
+        for batch in batches:
+            parent = np.unique(_hits_of(batch.column(len(keep)), regexes)[0])
+            if len(parent):
+                taken = [batch.column(k).take(pa.array(parent)) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(taken, list(keep))
+
+    schema = T.StructType([docs.schema[k] for k in keep])
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
 def line_matches(pattern: LinePattern, engine: str = "java") -> Column:
     """Test of the ``line`` column of :func:`split_lines`."""
     line, first, last = F.col("line"), F.col("line_no") == 1, F.col("ends_text")
@@ -96,7 +158,10 @@ def grep(
     compiled = compile_pattern(pattern, ignore_case)
     engine = _engine_for(compiled, engine)
     docs = _with_literals(docs, compiled, text)
-    matched = split_lines(docs, text, keep).where(line_matches(compiled, engine))
+    if engine == "re2":
+        matched = _re2_lines(docs, compiled, text, keep)
+    else:
+        matched = split_lines(docs, text, keep).where(line_matches(compiled))
     return matched.select(*keep, *(["line_no"] if line_numbers else []), "line")
 
 
@@ -108,8 +173,8 @@ def grep_files(
     keep: Sequence[str] = ("doc_id", "name"),
     engine: str = "auto",
 ) -> DataFrame:
-    """Texts with any matching line; nothing is exploded or shuffled where the whole
-    text, or its array of lines, can be tested in place."""
+    """Texts with any matching line, each once for every row of ``docs`` that has it;
+    nothing is exploded or shuffled."""
     compiled = compile_pattern(pattern, ignore_case)
     engine = _engine_for(compiled, engine)
     whole = F.col(text)
@@ -118,7 +183,7 @@ def grep_files(
             docs = _with_literals(docs, compiled, text)
             flags = "(?m)" + ("(?i)" if ignore_case else "")
             return docs.where(re2_matches(flags + pattern, whole)).select(*keep)
-        return grep(docs, pattern, ignore_case, False, text, keep, engine).select(*keep).distinct()
+        return _re2_texts(_with_literals(docs, compiled, text), compiled, text, keep)
     docs = _with_literals(docs, compiled, text)
     if compiled.text_test_is_exact:
         return docs.where(whole.rlike(compiled.text_regex)).select(*keep)
@@ -128,7 +193,7 @@ def grep_files(
         real = F.when(whole.endswith("\n"), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
         lines = F.when(whole != "", real.otherwise(pieces))
         return docs.where(F.exists(lines, lambda line: line.rlike(regex))).select(*keep)
-    return grep(docs, pattern, ignore_case, False, text, keep, engine).select(*keep).distinct()
+    return _re2_texts(docs, compiled, text, keep)
 
 
 def format_matches(

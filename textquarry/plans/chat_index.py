@@ -17,7 +17,7 @@ from textquarry.functions.text import english_terms, shingles
 from textquarry.operators.filters import bool_filter
 from textquarry.operators.postings import write_postings
 from textquarry.operators.ranking import bm25, collection_stats, term_postings
-from textquarry.plans.chat_search import analyze, message_filters
+from textquarry.plans.chat_search import analyze, message_filters, search_messages
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,16 @@ def search_chat_index(
     sender: str = "",
     protocol: str = "",
     server: str = "",
-    k: int = 10,
+    k: int | None = 10,
 ) -> DataFrame:
-    """The same result as ``search_messages``. Filters are joined in as narrow columns,
+    """The same result as ``search_messages``; without ``text`` it is that search, which
+    needs no postings. Filters are joined in as narrow columns,
     and only where there are some; texts are read for the best ``k`` only."""
     key = index.key
     query = {field: analyze(spark, text, a) for field, a in index.fields.items()}
     messages = index.messages(spark)
+    if not text:
+        return search_messages(messages, "", channel, sender, protocol, server, k, key)
     if not query["terms"]:
         return messages.where(F.lit(False)).withColumn("score", F.lit(0.0))
     scored = {}
@@ -89,6 +92,8 @@ def search_chat_index(
     must = message_filters(channel, sender, protocol, server)
     if must:
         hits = hits.join(messages.where(bool_filter(must)).select(key), key, "left_semi")
+    if k is None:
+        return messages.join(hits, key).select(*messages.columns, "score")
     best = hits.orderBy(F.desc("score"), F.asc(key)).limit(k)
     # At most k rows on this side.
     found = messages.join(F.broadcast(best), key).select(*messages.columns, "score")

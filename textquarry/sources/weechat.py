@@ -15,8 +15,9 @@ from textquarry.operators.messages import (
 
 
 def log_files(spark: SparkSession, root: str) -> DataFrame:
-    """Log files (``file``, ``text``), one row each."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/irc/*/*")
+    """Log files (``file``, ``text``), one row each. Files that cannot be read are left
+    out; one that is there in a listing but not here was skipped."""
+    files = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(f"{root.rstrip('/')}/irc/*/*")
     return files.select(
         F.regexp_replace("path", "^file:/+", "/").alias("file"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("text"),

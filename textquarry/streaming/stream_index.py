@@ -5,8 +5,9 @@ writes the same place again when it is replayed, so a restart adds nothing twice
 Readers take the latest version of each document. ``compact`` folds the log into a new
 base table.
 
-The file source sees new paths only. Changed and removed files are found by
-``changed_paths`` and ``drop_missing``, run as a scheduled batch over a listing.
+The file source sees new paths only, and none that start with ``.`` or ``_``. Those, and
+changed and removed files, are found by ``changed_paths`` and ``drop_missing``, run as a
+scheduled batch over a listing.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textquarry.operators.documents import to_documents
+from textquarry.operators.documents import seen_files, to_documents
 from textquarry.operators.filters import MAX_FILE_SIZE, drop_reason
 from textquarry.sources.archives import expand_archives
 
@@ -58,12 +59,17 @@ def stream_index(
     table: str,
     checkpoint: str,
     to_docs: Callable[[DataFrame], DataFrame] = files_to_documents,
+    seen: str | None = None,
 ) -> StreamingQuery:
     """Write a stream of files into the log at ``table`` and stop when all that is there
-    has been read; run it again, or on a schedule, for more."""
+    has been read; run it again, or on a schedule, for more. ``seen`` is a second log, of
+    all files that came in, dropped ones too."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         to_docs(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        if seen:
+            names = batch.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "modificationTime")
+            seen_files(names).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint)
@@ -94,11 +100,12 @@ def compact(spark: SparkSession, table: str, target: str) -> None:
     current_documents(spark.read.parquet(table)).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
-def changed_paths(index: DataFrame, listing: DataFrame) -> DataFrame:
+def changed_paths(seen: DataFrame, listing: DataFrame) -> DataFrame:
     """Paths of a listing that are new, or newer (in whole milliseconds, as file sources
-    report times) than the index has them."""
-    known = index.select("doc_id", F.col("modified_at").alias("known_at"))
-    seen = listing.withColumn("doc_id", F.sha2("path", 256))
-    fresh = seen.join(known, "doc_id", "left")
+    report times) than when they were seen. ``seen`` has ``file_id`` and ``modified_at``
+    of every file, as ``seen_files`` makes it; documents alone would not tell a dropped
+    file from a new one."""
+    known = seen.groupBy("file_id").agg(F.max("modified_at").alias("known_at"))
+    fresh = listing.withColumn("file_id", F.sha2("path", 256)).join(known, "file_id", "left")
     changed = F.col("known_at").isNull() | (F.col("modificationTime") > F.col("known_at"))
     return fresh.where(changed).select(*listing.columns)

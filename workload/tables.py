@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.layout import spread_small
-
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents for work on their whole texts."""
-    return spread_small(table(spark, sf_dir, "documents", *(columns or ("doc_id", "text"))))
+    return table(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +24,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat messages."""
-    rows = spread_small(table(spark, sf_dir, "conversations"))
+    rows = table(spark, sf_dir, "conversations")
     sender = (
         F.when(F.col("role") == "assistant", "@Assistant")
         .when(F.col("role") == "user", "+User")
