@@ -20,6 +20,7 @@ from textquarry.plans.chat_index import ChatIndex, index_messages, search_chat_i
 from textquarry.plans.chat_search import search_messages
 from textquarry.sources.discord import parse_discord, parse_discord_tables
 from textquarry.sources.weechat import parse_weechat, weechat_stats
+from workload.porter_sql import stems_sql
 from workload.tables import MESSAGES_SQL, messages, table
 
 SEARCH = "The thing of their ins"
@@ -262,7 +263,7 @@ QUERIES = {
 }
 
 
-def _search_sql(where: str, k: int) -> str:
+def _search_sql(where: str, k: int, terms: list[str] = TERMS, stemmed: bool = False) -> str:
     def part(field: str, wanted: list[str]) -> str:
         terms = ", ".join(
             f"(SELECT count(*) FROM unnest({field}) t(x) WHERE x = '{w}') AS {field}_{i}"
@@ -289,13 +290,18 @@ def _search_sql(where: str, k: int) -> str:
         )
 
     pairs = ["the thing", "thing of", "of their", "their ins"]
+    found, stems = _plain_sql("message"), ""
+    if stemmed:
+        held = f"SELECT DISTINCT unnest({found}) AS term FROM ({MESSAGES_SQL})"
+        stems = f"stems AS (SELECT map(list(term), list(stem)) AS stem_of FROM ({stems_sql(held)})), "
+        found = f"list_transform({found}, lambda t: stem_of[t])"
     return f"""
-        WITH analysed AS (SELECT *, {_plain_sql("message")} AS terms, {_pairs_sql("message")} AS pairs
-                          FROM ({MESSAGES_SQL})),
-             counted AS (SELECT *, {part("terms", TERMS)}, {part("pairs", pairs)} FROM analysed),
-             stats AS (SELECT {stats("terms", TERMS)}, {stats("pairs", pairs)} FROM counted)
+        WITH {stems} analysed AS (SELECT *, {found} AS terms, {_pairs_sql("message")} AS pairs
+                          FROM ({MESSAGES_SQL}){", stems" if stemmed else ""}),
+             counted AS (SELECT *, {part("terms", terms)}, {part("pairs", pairs)} FROM analysed),
+             stats AS (SELECT {stats("terms", terms)}, {stats("pairs", pairs)} FROM counted)
         SELECT message_id, sender,
-               round({score("terms", TERMS)} + {score("pairs", pairs)}, 6) AS score
+               round({score("terms", terms)} + {score("pairs", pairs)}, 6) AS score
         FROM counted, stats
         WHERE (terms_0 > 0 OR terms_1 > 0) AND {where}
         ORDER BY score DESC, message_id LIMIT {k}
@@ -340,6 +346,13 @@ ORACLE = {
         SELECT term, count(*) AS n
         FROM (SELECT unnest({_plain_sql("message")}) AS term FROM ({MESSAGES_SQL})) GROUP BY term
     """,
+    "english_term_frequency": f"""
+        WITH terms AS (SELECT term, count(*) AS n
+                       FROM (SELECT unnest({_plain_sql("message")}) AS term FROM ({MESSAGES_SQL}))
+                       GROUP BY term)
+        SELECT stem AS term, CAST(sum(n) AS BIGINT) AS n
+        FROM ({stems_sql("SELECT term FROM terms")}) JOIN terms USING (term) GROUP BY stem
+    """,
     "bm25_scores": f"""
         WITH analysed AS (SELECT message_id, {_plain_sql("message")} AS terms FROM ({MESSAGES_SQL})),
              corpus AS (SELECT count(*) AS n, avg(len(terms)) AS average
@@ -354,6 +367,8 @@ ORACLE = {
         FROM held JOIN counts USING (term), corpus GROUP BY message_id
     """,
     "search_messages": _search_sql("true", 25),
+    # The stems of the search's terms.
+    "search_messages_stemmed": _search_sql("true", 10, ["thing", "in"], stemmed=True),
     "search_messages_filtered": _search_sql("sender = '@Assistant' AND server = 'net.two'", 10),
     "stored_message_search": _search_sql("sender = '@Assistant' AND server = 'net.two'", 10),
     "newest_messages": f"""
