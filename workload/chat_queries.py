@@ -98,6 +98,14 @@ def _stored_search(spark, sf_dir):
     return found.select("message_id", F.col("from").alias("sender"), F.round("score", 6).alias("score"))
 
 
+def _stored_newest(spark, sf_dir):
+    """A stored search without text."""
+    index = ChatIndex(durable_dir(spark, "chat"), plain_terms)
+    index_messages(messages(spark, sf_dir), index)
+    found = search_chat_index(spark, index, "", sender="assistant", server="net.one", k=20)
+    return found.select("message_id", "time")
+
+
 def _newest(spark, sf_dir):
     found = search_messages(messages(spark, sf_dir), sender="assistant", server="net.one", k=20)
     return found.select("message_id", "time")
@@ -250,6 +258,7 @@ QUERIES = {
     "stored_message_search": _stored_search,
     "search_messages_stemmed": _search(text=SEARCH, k=10),
     "newest_messages": _newest,
+    "stored_newest_messages": _stored_newest,
     "format_messages": _formatted,
     "message_json": _wire,
     "message_json_round_trip": _wire_round_trip,
@@ -426,3 +435,4 @@ ORACLE = {
     "discord_exports": _EXPORT_SQL,
     "discord_exports_by_joins": _EXPORT_SQL,
 }
+ORACLE["stored_newest_messages"] = ORACLE["newest_messages"]

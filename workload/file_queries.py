@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from textquarry.functions.paths import path_tokens, under
@@ -192,6 +193,55 @@ def _archive_members(spark, sf_dir):
     return members.select("doc_id", "path", "name", "display", F.sha2("data", 256).alias("body"))
 
 
+def _missing_archives(mode: str):
+    """The French files are gone from the listing: their members go, all others stay."""
+
+    def query(spark, sf_dir):
+        docs = documents(spark, sf_dir, "doc_id", "lang", "text")
+        index = to_documents(expand_archives(docs.mapInPandas(_pack, FILES_SCHEMA)))
+        path = F.concat(F.lit("/packed/"), "doc_id").alias("path")
+        listing = table(spark, sf_dir, "documents", "doc_id", "lang").where("lang <> 'fr'").select(path)
+        left = drop_missing(index, listing, mode)
+        return left.select("doc_id", "path", "name", "display", F.sha2("data", 256).alias("body"))
+
+    return query
+
+
+def _write_archives(folder: str):
+    """Documents as members of ZIP files of over 10 MiB, 300 in each, beside hidden and
+    empty files."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, inside = fs.FileSystem.from_uri(folder)
+        files.create_dir(f"{inside}/pkg")
+        for batch in batches:
+            for at in range(0, len(batch), 300):
+                part = batch.iloc[at : at + 300]
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    pad = zipfile.ZipInfo("pad")
+                    archive.writestr(pad, bytes(11 << 20), zipfile.ZIP_STORED)
+                    for row in part.itertuples(index=False):
+                        archive.writestr(f"a/{row.doc_id}", row.text)
+                first = part["doc_id"].iloc[0]
+                for name, body in ((f".h{first}.zip", out.getvalue()), (f"pkg/_{first}.py", b"")):
+                    with files.open_output_stream(f"{inside}/{name}") as file:
+                        file.write(body)
+                yield part[["doc_id"]]
+
+    return write
+
+
+def _scan_archives(spark, sf_dir):
+    """Archives in a tree: every member is found, and every hidden or empty file."""
+    tree = durable_dir(spark, "archives")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs.mapInPandas(_write_archives(tree), "doc_id bigint").write.format("noop").mode("overwrite").save()
+    files = files_with_reason(spark, tree).where(F.col("drop_reason").isNull())
+    members = to_documents(files.where(F.col("container").isNotNull()))
+    return members.select(F.col("name").cast("bigint").alias("doc_id"), F.sha2("data", 256).alias("body"))
+
+
 def _scan_tree(spark, sf_dir):
     """Documents written as text files, then scanned, filtered and searched."""
     tree = durable_dir(spark, "tree")
@@ -333,6 +383,9 @@ QUERIES = {
     "content_type_signatures": _signatures,
     "archive_members": _archive_members,
     "scan_tree_and_grep": _scan_tree,
+    "scan_large_archives": _scan_archives,
+    "missing_archives": _missing_archives("file"),
+    "missing_archive_directories": _missing_archives("directory"),
     "stream_index": _stream_index,
     "bulk_lines": _bulk,
     "write_documents": _write_documents,
@@ -509,3 +562,7 @@ ORACLE = {
         WHERE contains(text, 'the the')
     """,
 }
+
+_LEFT = f"SELECT * FROM ({ORACLE['archive_members']}) WHERE path NOT IN (SELECT {_FILE} || d FROM documents, (VALUES ('/a'), ('/b')) v(d) WHERE lang = 'fr')"
+ORACLE["missing_archives"] = ORACLE["missing_archive_directories"] = _LEFT
+ORACLE["scan_large_archives"] = "SELECT doc_id, sha256(text) AS body FROM documents"
