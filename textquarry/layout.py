@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -21,20 +22,22 @@ def prepare_session(spark: SparkSession) -> None:
 
 def durable_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared place the cluster names in ``spark.checkpoint.dir``,
-    deleted when the driver ends. Where that is unset, as in tests on one machine, a
-    temporary folder is made and set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+    deleted when the driver ends. Where that is unset, as in tests on one machine, in a
+    temporary folder that is made once."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.master)
     if not _made:
         atexit.register(_delete_made)
     _made.append(f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
+@functools.cache
+def _own_folder(master: str) -> str:
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="textquarry-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh folder and read again, so that its size is known."""
     place = durable_dir(df.sparkSession, name)

@@ -162,6 +162,7 @@ def parse_message_json(wire: DataFrame) -> DataFrame:
 
 def format_message(messages: DataFrame) -> DataFrame:
     """Printed form, ``protocol://server/channel time <from> message``."""
+    # Fixed value: the printed layout.
     printed = F.format_string(
         "%s://%s/%s %s <%s> %s",
         "protocol", "server", "channel_or_person", time_text(F.col("time")), "from", "message",
