@@ -79,6 +79,13 @@ def test_links_of_fingerprints(spark):
     assert {x: root.get(x, x) for x in signed} == want
 
 
+def test_rows_without_or_with_equal_ids(make_docs):
+    pairs = [(None, "one text of its own"), (None, "another text that is far away from it"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d")]
+    pairs += [(9, "words of the first kind here"), (9, "quite other things are said now")]
+    kept = simhash.drop_near_copies(make_docs(pairs)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([pairs[0], pairs[1], pairs[3], pairs[5], pairs[6]], key=repr)
+
+
 def test_empty_and_null_ids(make_docs):
     assert simhash.classes(make_docs([])).count() == 0
     assert simhash.drop_near_copies(make_docs([])).count() == 0

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import packed, slices, stored, table, unpacked
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -56,15 +56,19 @@ def _fingerprints(words: int):
         for batch in batches:
             for part in slices(batch, 1):
                 prints = np.array([text_fingerprint(x, words) for x in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["id", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64)), part.column(2)], ["id", "bits", "text_key"])
 
     return run
 
 
+def _text_key(text: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """id and bits (the fingerprint as a signed long) of each row."""
-    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(words), "id long, bits long")
+    """id, bits (the fingerprint as a signed long) and text_key (a hash of the text) of each row."""
+    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), _text_key(text).alias("text_key"))
+    return rows.mapInArrow(_fingerprints(words), "id long, bits long, text_key long")
 
 
 def _roots(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -146,29 +150,35 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """id, bits and component_id (the smallest id reachable over links) of each row.
+    """id, bits, text_key and component_id (the smallest id reachable over links) of each row, and
+    component_key, the text_key of the row with that id (the smallest, if there are several).
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other.
     Repeated rows are in one class. Rows without an id are classed too; the component_id is null
     only if no row of the class has one. Extra columns are ignored, whatever their names.
     """
     prints = stored(fingerprints(df, id_column, text, words), "fingerprints")
-    distinct = prints.groupBy("bits").agg(F.min("id").alias("rep"))
+    # Rows without an id come after all others.
+    distinct = prints.groupBy("bits").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("rep"))
     root = components(fingerprint_links(distinct, max_bits))
     rooted = distinct.join(root, distinct["bits"] == root["node"], "left").select("bits", "rep", F.coalesce("root", "bits").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = rooted.join(smallest, "root").select("bits", "component_id")
-    return prints.join(by_print, "bits").select("id", "bits", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("rep"))
+    by_print = rooted.drop("rep").join(smallest, "root").select("bits", F.col("rep.id").alias("component_id"), F.col("rep.text_key").alias("component_key"))
+    return prints.join(by_print, "bits").select("id", "bits", "text_key", "component_id", "component_key")
 
 
 def drop_near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest id of each class, all columns of df; of rows with that id one stays.
+    """One row of each class, all columns of df: the one with the smallest id.
 
-    Rows of a class without any id stay; they cannot be told apart.
+    Of rows that share that id and the text one stays; of different texts that share it, one with the
+    smallest hash. A class without any id keeps one row, likewise.
     """
-    kept = classes(df, id_column, text).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept_id")).distinct()
-    rows = df.join(kept, F.col(f"`{id_column}`").cast("long").eqNullSafe(kept["__kept_id"]), "left_semi")
-    return rows.dropDuplicates([id_column]) if id_column in df.columns else rows
+    kept = classes(df, id_column, text).filter(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key")))
+    kept = kept.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    rows = packed(df, own_id=F.coalesce(F.col(f"`{id_column}`").cast("long").cast("string"), F.lit("")), own_key=_text_key(text))
+    # One shuffle of texts at most: rows are where the join needs them when repeated ones are dropped.
+    rows = rows.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
+    return unpacked(rows.dropDuplicates(["own_id", "own_key"]), df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
