@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,55 +9,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.layout import durable_dir as new_path  # noqa: F401  (operators take them from here)
+from textquarry.layout import stored  # noqa: F401
+
 #: Texts are handed to Python functions in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
 
-_written: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one is made and set.
-
-    A made folder is seen by this machine only, so a cluster must name its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="textquarry-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    if not _written:
-        atexit.register(_delete_written)
-    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
-
-
-def _delete_written() -> None:
-    from pyarrow import fs
-
-    for path in _written:
-        with contextlib.suppress(Exception):
-            files, inside = fs.FileSystem.from_uri(path)
-            files.delete_dir(inside)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends here."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """The row of df as one struct named row, beside new columns that cannot clash with its names."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
