@@ -61,13 +61,13 @@ def _fingerprints(words: int):
     return run
 
 
-def _text_key(text: str):
+def text_hash(text: str):
     return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """id, bits (the fingerprint as a signed long) and text_key (a hash of the text) of each row."""
-    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), _text_key(text).alias("text_key"))
+    rows = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), text_hash(text).alias("text_key"))
     return rows.mapInArrow(_fingerprints(words), "id long, bits long, text_key long")
 
 
@@ -158,9 +158,14 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", words:
     only if no row of the class has one. Extra columns are ignored, whatever their names.
     """
     prints = stored(fingerprints(df, id_column, text, words), "fingerprints")
+    return classed(prints, fingerprint_links(prints.select("bits").distinct(), max_bits))
+
+
+def classed(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes of prints (id, bits, text_key) that links (a, b) between bits lead to, as in classes."""
     # Rows without an id come after all others.
     distinct = prints.groupBy("bits").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")).alias("rep"))
-    root = components(fingerprint_links(distinct, max_bits))
+    root = components(links)
     rooted = distinct.join(root, distinct["bits"] == root["node"], "left").select("bits", "rep", F.coalesce("root", "bits").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("rep"))
     by_print = rooted.drop("rep").join(smallest, "root").select("bits", F.col("rep.id").alias("component_id"), F.col("rep.text_key").alias("component_key"))
@@ -173,9 +178,14 @@ def drop_near_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text
     Of rows that share that id and the text one stays; of different texts that share it, one with the
     smallest hash. A class without any id keeps one row, likewise.
     """
-    kept = classes(df, id_column, text).filter(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key")))
+    return kept_rows(df, classes(df, id_column, text), id_column, text)
+
+
+def kept_rows(df: DataFrame, found: DataFrame, id_column: str, text: str) -> DataFrame:
+    """The rows of df that stay, given its classes."""
+    kept = found.filter(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("component_key")))
     kept = kept.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    rows = packed(df, own_id=F.coalesce(F.col(f"`{id_column}`").cast("long").cast("string"), F.lit("")), own_key=_text_key(text))
+    rows = packed(df, own_id=F.coalesce(F.col(f"`{id_column}`").cast("long").cast("string"), F.lit("")), own_key=text_hash(text))
     # One shuffle of texts at most: rows are where the join needs them when repeated ones are dropped.
     rows = rows.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
     return unpacked(rows.dropDuplicates(["own_id", "own_key"]), df.columns)
