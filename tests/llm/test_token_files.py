@@ -1,0 +1,64 @@
+import io
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from textquarry.llm import token_files as tf
+from textquarry.llm.common import new_path
+
+MODEL = public_tokenizers.path("word_bpe_49k.json")
+
+
+class Handle(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+@pytest.mark.parametrize("values", [[], [0], [7] * 5, list(range(3000)), [1, 2**32 - 1, 3] * 700, list(np.random.default_rng(1).integers(0, 50_000, 5000))])
+@pytest.mark.parametrize("block", [8, 1024])
+def test_blocks_round_trip(values, block):
+    blocks = tf.encode_blocks(np.array(values, np.uint32), block, 90)
+    back = np.concatenate([tf.decode_block(b) for b in blocks]) if blocks else np.zeros(0)
+    assert back.tolist() == [int(v) for v in values]
+
+
+def test_outliers_are_exceptions():
+    values = np.array([5] * 1000 + [4_000_000_000] * 3 + [6] * 21, np.uint32)
+    (block,) = tf.encode_blocks(values, 1024, 90)
+    assert len(block) < 200 and tf.decode_block(block).tolist() == values.tolist()
+
+
+def test_file_digests():
+    docs = [[1], [5, 6, 1], [], [9] * 5000 + [1]]
+    data = tf.encode_file([3, None, 4, 5], [len(d) for d in docs], tf.encode_blocks(np.concatenate([np.array(d, np.uint32) for d in docs]), 8, 90))
+    ids, valid, places, counts, crcs = tf.document_digests(Handle(data))
+    assert valid.tolist() == [1, 0, 1, 1] and ids[[0, 2, 3]].tolist() == [3, 4, 5]
+    assert places.tolist() == [0, 1, 4, 4] and counts.tolist() == [1, 3, 0, 5001]
+    assert crcs.tolist() == [zlib.crc32(np.array(d, "<u4").tobytes()) for d in docs]
+
+
+def test_documents_against_brute_force(spark, make_docs):
+    texts = [(k, f"Text {k}: \"quoted\" words, numbers {k * 7}. " * (k % 9)) for k in range(200)]
+    texts += [(500, None), (501, ""), (7, "repeated id"), (7, "repeated id"), (None, "no id"), (502, "long text " * 40_000), (503, "a <|endoftext|> b")]
+    coded = tf.encode_ids(make_docs(texts), MODEL)
+    rows = tf.read_token_files(tf.write_token_files(coded, new_path(spark, "test-token-ids"), block=64)).collect()
+    assert len(rows) == len(texts)
+    tokenizer = Tokenizer.from_file(MODEL)
+    want = []
+    for k, t in texts:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    want.sort(key=lambda w: (w[0] is None, w[0] if w[0] is not None else 0))
+    got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in sorted(rows, key=lambda r: r.start)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert [r[0] for r in got] == [w[0] for w in want]
+    starts = sorted(r.start for r in rows)
+    assert starts == np.concatenate([[0], np.cumsum([g[1] for g in got])[:-1]]).tolist()
+
+
+def test_empty_table(spark, make_docs):
+    coded = tf.encode_ids(make_docs([]), MODEL)
+    assert tf.read_token_files(tf.write_token_files(coded, new_path(spark, "test-empty-ids"))).count() == 0
