@@ -21,6 +21,7 @@ task and stream it block by block; memory is bounded by the footer of one file.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -40,6 +41,8 @@ BLOCK = 1024
 PERCENTILE = 90
 #: Blocks packed together by numpy.
 CHUNK_BLOCKS = 64
+#: Characters of texts handed to the tokenizer at once.
+GROUP_CHARACTERS = 1 << 20
 #: The id put after each document (fixed value of the format's contract).
 END_ID = 1
 MAGIC = b"TQPFOR01"
@@ -181,21 +184,34 @@ def document_digests(handle) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, valid, places, counts.astype(np.int64), crcs
 
 
-def _coder(model, characters: int, end_id: int):
+def _coder(model, characters: int, end_id: int, group_characters: int):
     def run(batches):
+        # One thread per task: Spark runs a task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model.value)
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, group_characters):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                pieces = [list(safe_pieces(t, characters)) for t in texts]
-                flat = tokenizer.encode_batch([p for ps in pieces for p in ps], add_special_tokens=False)
-                out, k = [], 0
-                for ps in pieces:
-                    ids = [i for e in flat[k : k + len(ps)] for i in e.ids] + [end_id]
-                    out.append(np.array(ids, "<u4").tobytes())
-                    k += len(ps)
+                ids_of: list[list[np.ndarray]] = [[] for _ in texts]
+                group: list[str] = []
+                owners: list[int] = []
+                held = 0
+                for k, text in enumerate(texts):
+                    for piece in safe_pieces(text, characters):
+                        group.append(piece)
+                        owners.append(k)
+                        held += len(piece)
+                        if held >= group_characters:
+                            for owner, coded in zip(owners, encode(group, add_special_tokens=False)):
+                                ids_of[owner].append(np.array(coded.ids, "<u4"))
+                            group, owners, held = [], [], 0
+                for owner, coded in zip(owners, encode(group, add_special_tokens=False) if group else []):
+                    ids_of[owner].append(np.array(coded.ids, "<u4"))
+                out = [np.concatenate([*parts, end]).tobytes() for parts in ids_of]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["row", "n_tokens", "ids"]
                 )
@@ -203,17 +219,20 @@ def _coder(model, characters: int, end_id: int):
     return run
 
 
-def encode_ids(df: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), end_id: int = END_ID, characters: int = 50_000) -> DataFrame:
+def encode_ids(
+    df: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), end_id: int = END_ID, characters: int = 50_000, group_characters: int = GROUP_CHARACTERS
+) -> DataFrame:
     """Kept columns, n_tokens and ids (little-endian uint32) of each row, by the tokenizers
     library without added special tokens, with end_id after each text. A null text counts as
     empty (its ids are end_id alone). Long texts are encoded in pieces cut before a blank or line
     feed that follows a non-blank; the model drops white space, so the ids are those of the whole.
-    The model file is read on the driver; its size is that of a vocabulary."""
+    Pieces go to the library in groups of about group_characters, so that a task holds the
+    library's encodings of one group only, however long a text is. The model file is read on the driver; its size is that of a vocabulary."""
     with open(tokenizer_file, encoding="utf-8") as file:
         model = df.sparkSession.sparkContext.broadcast(file.read())
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = rows.select("row", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).schema
-    return rows.mapInArrow(_coder(model, characters, end_id), schema).select("row.*", "n_tokens", "ids")
+    return rows.mapInArrow(_coder(model, characters, end_id, group_characters), schema).select("row.*", "n_tokens", "ids")
 
 
 def _writer(folder: str, block: int, percentile: float):
