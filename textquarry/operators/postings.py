@@ -39,7 +39,7 @@ def write_postings(
     (
         postings.withColumn("bucket", bucket)
         .repartitionById(N_BUCKETS * files_per_bucket, bucket * files_per_bucket + part)
-        .sortWithinPartitions("bucket", token)
+        .sortWithinPartitions("bucket", token, key)
         .write.partitionBy("bucket")
         .mode(mode)
         .parquet(path)
