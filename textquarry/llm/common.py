@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,18 @@ from textquarry.layout import stored  # noqa: F401
 SLICE_BYTES = 4 << 20
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of value as cloudpickle bytes. Spark pickles broadcast values by reference,
+    so an object of this package's classes would need the package on every executor; as bytes
+    made by cloudpickle, the classes of packages registered by value travel with it."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    """The value of a :func:`share` broadcast, in a task."""
+    return cloudpickle.loads(shared.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, training_remainder
+from .common import opened, share, slices, stored, table, training_remainder
 
 #: Bound of the labelled rows that the classifier is fitted on.
 MAX_LABELLED = 20_000
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, kinds=IDENTITY_TERMS, limit: int =
 
 def _scores(model):
     def run(batches):
-        score = model.value.scorer()
+        score = opened(model).scorer()
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([score(x) for x in part.column(1).to_pylist()], pa.float64())], ["row", "score"])
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model | None, keep: Iterable[str] = ("doc_id",
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").cast("string").alias("text"))
     if model is None:
         return rows.select("row", F.lit(0.0).alias("score"))
-    model = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of features
+    model = share(docs.sparkSession, model)  # bounded by the number of features
     return rows.mapInArrow(_scores(model), rows.select("row", F.lit(0.0).alias("score")).schema)
 
 
