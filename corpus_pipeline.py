@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import textquarry
-from textquarry.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
+from textquarry.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
 from textquarry.llm.common import stored, table
 
 # Send the code of Python functions with them, so that executors need no install.
@@ -24,8 +24,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles of similarity 0.8 or more one stays."""
-    return near_dedup.drop_near_copies(docs)
+    """Of each class of the SimHash near-dedup operator (3-word shingles, fingerprints linked at
+    2 or fewer differing bits, as in its contract), the document with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
