@@ -57,6 +57,10 @@ def test_documents_against_brute_force(spark, make_docs):
     assert [r[0] for r in got] == [w[0] for w in want]
     starts = sorted(r.start for r in rows)
     assert starts == np.concatenate([[0], np.cumsum([g[1] for g in got])[:-1]]).tolist()
+    # Sorted before encoding: the same rows, in the same order of ids.
+    direct = tf.read_token_files(tf.tokenize_to_files(make_docs(texts), MODEL, new_path(spark, "test-sorted-ids"), block=64)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in direct if r.doc_id is not None) == sorted(g for g in got if g[0] is not None)
+    assert [r.doc_id for r in sorted(direct, key=lambda r: r.start)] == [w[0] for w in want]
 
 
 def test_empty_table(spark, make_docs):

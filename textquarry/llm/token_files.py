@@ -12,7 +12,7 @@ Block: minimum (uint32), width (uint8), count (uint16), exceptions (uint16); cei
 bytes of packed differences, value after value, low bits first; exception places (uint16) and
 differences (uint32).
 
-The writer is a Spark job: documents are range-partitioned by (doc_id, ids) at splitters that
+The writer is a Spark job: documents are range-partitioned by (doc_id, digest) at splitters that
 Spark samples and sorted in each partition, so that each task writes one file of ascending ids
 and a key held by many rows is cut over several files. A task writes its file under a temporary
 name and moves it into place, so a retried task leaves one whole file. Readers take one file a
@@ -275,19 +275,36 @@ def _writer(folder: str, block: int, percentile: float):
     return run
 
 
-def write_token_files(coded: DataFrame, folder: str, id_column: str = "doc_id", block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
+def write_token_files(coded: DataFrame, folder: str, id_column: str = "doc_id", block: int = BLOCK, percentile: float = PERCENTILE, presorted: bool = False) -> DataFrame:
     """Writes the ids of coded (id_column, n_tokens, ids) into files under folder, in ascending
     id order (nulls last; equal ids by the sha256 of their ids, so that splitters stay small);
-    returns one row per file: part, path, n_values,
-    n_documents, stored. Partitions without rows write files without documents. An empty table
-    gives files without documents."""
-    rows = coded.select(F.col(f"`{id_column}`").cast("long").alias("id"), "n_tokens", "ids", F.sha2("ids", 256).alias("tie"))
-    order = [F.col("id").asc_nulls_last(), F.col("tie")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n_tokens", "ids")
+    returns one row per file: part, path, n_values, n_documents, stored. Partitions without rows
+    write files without documents. An empty table gives files without documents. With
+    ``presorted`` the rows are range-partitioned and sorted already, as by :func:`tokenize_to_files`."""
+    rows = coded.select(F.col(f"`{id_column}`").cast("long").alias("id"), "n_tokens", "ids")
+    if not presorted:
+        order = [F.col("id").asc_nulls_last(), F.col("tie")]
+        rows = rows.withColumn("tie", F.sha2("ids", 256)).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "n_tokens", "ids")
     schema = "part int, path string, n_values long, n_documents long"
     return stored(rows.mapInArrow(_writer(folder, block, percentile), schema), "token-files")
 
 
+def tokenize_to_files(docs: DataFrame, tokenizer_file: str, folder: str, text: str = "text", id_column: str = "doc_id", block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
+    """Encodes the texts of docs (see :func:`encode_ids`) and writes their ids into files in
+    ascending id order (nulls last; equal ids by the sha256 of their texts). Documents are
+    range-partitioned and sorted before they are encoded, so Spark's sample of splitters reads ids
+    and digests but never runs the tokenizer, and each task encodes and writes one sorted
+    partition in one pass. Returns the rows of :func:`write_token_files`."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    rows = docs.select(
+        F.col(f"`{id_column}`").cast("long").alias("doc_id"),
+        F.col(f"`{text}`").cast("string").alias("text"),
+        F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256).alias("tie"),
+    )
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return write_token_files(encode_ids(rows, tokenizer_file), folder, block=block, percentile=percentile, presorted=True)
+
+
 def _reader(batches):
     for batch in batches:
         for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -313,5 +330,5 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(write_token_files(coded, new_path(spark, "token-ids")))
+    files = tokenize_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "token-ids"))
+    return read_token_files(files)
