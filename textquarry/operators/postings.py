@@ -30,7 +30,10 @@ def write_postings(
 
     With ``files_per_bucket`` postings are shuffled into hash buckets of the token, so
     that a search opens a few files of the table only. A bucket is spread over that many
-    tasks by document, so a bucket with a very common token is no hot spot."""
+    tasks by document, so a bucket with a very common token is no hot spot. Within a token,
+    postings are sorted by the length of their text where they have one (``n_grams``), so
+    that a search for the best texts, which reads the shortest first, skips the pages of the
+    others."""
     if files_per_bucket is None:
         postings.sortWithinPartitions(token).write.mode(mode).parquet(path)
         return
@@ -39,7 +42,7 @@ def write_postings(
     (
         postings.withColumn("bucket", bucket)
         .repartitionById(N_BUCKETS * files_per_bucket, bucket * files_per_bucket + part)
-        .sortWithinPartitions("bucket", token, key)
+        .sortWithinPartitions("bucket", token, *(["n_grams"] if "n_grams" in postings.columns else []), key)
         .write.partitionBy("bucket")
         .mode(mode)
         .parquet(path)
