@@ -39,3 +39,28 @@ def test_documents(spark, encoding, make_docs):
 
 def test_empty_table(make_docs):
     assert bpe.token_digests(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "run",
+    [" " * 2_000_000, "\n" * 2_000_000, " \n\t\r" * 500_000, "\n\n " * 666_667, "a" + " " * 2_000_000 + "b", "x \n" * 700_000],
+)
+def test_long_runs_of_white_space(encoding, run):
+    """Ids equal a plain model of the pattern: every match of it, by the regex module, merged alone
+    (the library's own expression runs out of stack on these)."""
+    import time
+
+    import regex
+
+    start = time.perf_counter()
+    got = bpe.encode_text(encoding, run, 1_000)
+    assert time.perf_counter() - start < 30
+    plain = [i for m in regex.finditer(public_tokenizers.PATTERN, run) for i in encoding._encode_single_piece(m.group())]
+    assert got.tolist() == plain
+    assert bpe.decode_ids(encoding, got) == run.encode()
+
+
+@pytest.mark.parametrize("text", ["", "a", " " * 5000, "x" + " " * 5000, " " * 5000 + "y", "a \u3000" * 3000 + "\x1c" * 5000 + "b", "z" + "\n " * 3000 + "\t" * 4096 + "q"])
+def test_runs_apart_keep_the_ids_of_the_library(encoding, text):
+    assert bpe.encode_text(encoding, text).tolist() == encoding.encode_ordinary(text)
+    assert "".join(part for part, _ in bpe.runs_apart(text)) == text

@@ -3,6 +3,12 @@
 Long texts are cut before they reach the library, at places where no match of the splitting
 pattern can reach across: before a blank or line feed that follows a character that is no white
 space. Every token ends there anyway, so the ids are those of the whole text.
+
+Long runs of white space are taken apart too: the library's regular expression runs out of
+backtracking stack on runs of some million characters. By the pattern, a run that a non-blank
+follows is one match of all but its last character, and a run at the end of the text one match
+whole; such a match is coded as one piece, by the library's byte-pair merge without the
+expression, which gives the ids that the library would give the match.
 """
 
 from __future__ import annotations
@@ -23,6 +29,14 @@ PIECE_CHARACTERS = 50_000
 
 _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n])")
 
+#: Runs of white space at least this long are coded apart (see above).
+LONG_RUN = 4_096
+
+# The characters of Unicode's White_Space property, which ``\s`` of the pattern
+# matches (Python's own ``\s`` also takes U+001C to U+001F, which the pattern does not).
+_WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_WHITE = re.compile(f"[{_WHITE_SPACE}]{{{LONG_RUN},}}")
+
 
 def read_ranks(path: str) -> bytes:
     """A rank file as it is: lines of a token in base64 and its rank."""
@@ -46,9 +60,25 @@ def safe_pieces(text: str, characters: int = PIECE_CHARACTERS) -> Iterator[str]:
     yield text[start:]
 
 
+def runs_apart(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in order as (part, one match): long runs of white space are single matches."""
+    start = 0
+    for run in _LONG_WHITE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[start : run.start()], False
+        yield text[run.start() : end], True
+        start = end
+    yield text[start:], False
+
+
 def encode_text(encoding, text: str, characters: int = PIECE_CHARACTERS) -> np.ndarray:
     """Token ids (unsigned 32 bits) of a whole text; strings of special tokens are ordinary text."""
-    parts = [encoding.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text, characters)]
+    parts = []
+    for part, match in runs_apart(text):
+        if match:
+            parts.append(np.asarray(encoding._encode_single_piece(part), dtype="<u4"))
+        elif part or not parts:
+            parts += [encoding.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(part, characters)]
     return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
 
 
