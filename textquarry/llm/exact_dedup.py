@@ -26,7 +26,7 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 FIRST, LAST = 1, 2
 
-_RUN = [("keep_id", "long"), ("group_size", "long"), ("position", "long"), ("digest", "string"), ("part", "int"), ("edge", "int")]
+_RUN = [("keep_id", T.LongType()), ("group_size", T.LongType()), ("position", T.LongType()), ("digest", T.StringType()), ("part", T.IntegerType()), ("edge", T.IntegerType())]
 
 
 def normalised(text):
@@ -123,7 +123,7 @@ def _find_runs(heads_only: bool):
 def _runs(df: DataFrame, id_column: str, text: str, keep: tuple[str, ...], heads_only: bool) -> DataFrame:
     """Rows with their run; those of runs at the edge of a partition with what all parts of the run make."""
     rows = _sorted(df, id_column, text, keep)
-    schema = T.StructType([rows.schema["row"], *[T.StructField(name, T._parse_datatype_string(kind)) for name, kind in _RUN]])
+    schema = T.StructType([rows.schema["row"], *[T.StructField(name, kind) for name, kind in _RUN]])
     rows = stored(rows.mapInArrow(_find_runs(heads_only), schema), "content-runs")
     edges = rows.filter((F.col("edge") > 0) & (F.col("position") == 0)).groupBy(F.col("digest").alias("edge_digest")).agg(F.min("keep_id").alias("edge_id"), F.sum("group_size").alias("edge_size"), F.min("part").alias("edge_part"))
     # At most two rows a partition.
