@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textquarry.functions.grams import required_literals
+from textquarry.functions.grams import required_literals, text_slices
 from textquarry.functions.patterns import LinePattern, compile_pattern
 
 ENGINES = ("auto", "java", "re2")
+#: Texts that are split into lines at a time.
+SLICE_BYTES = 4 << 20
 
 
 def re2_matches(regex: str, text: Column) -> Column:
@@ -66,6 +68,13 @@ def _place_regexes(pattern: LinePattern) -> dict[tuple[bool, bool], str]:
     return {(a, b): pattern.re2_line_regex(first=a, last=b) for a, b in places}
 
 
+def _sliced(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of bounded bytes of text, as lines are copied several times over."""
+    for batch in batches:
+        for part in text_slices(batch.column(text), SLICE_BYTES):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def _hits_of(texts: pa.Array, regexes: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Matching lines of a batch of texts: index of the text, line number, line."""
     pieces = pc.split_pattern(texts, "\n")
@@ -91,7 +100,7 @@ def _re2_lines(docs: DataFrame, pattern: LinePattern, text: str, keep: Sequence[
     regexes = _place_regexes(pattern)
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches, len(keep)):
             parent, number, line = _hits_of(batch.column(len(keep)), regexes)
             if len(parent):
                 taken = [batch.column(k).take(pa.array(parent)) for k in range(len(keep))]
@@ -108,7 +117,7 @@ def _re2_texts(docs: DataFrame, pattern: LinePattern, text: str, keep: Sequence[
     regexes = _place_regexes(pattern)
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches, len(keep)):
             parent = np.unique(_hits_of(batch.column(len(keep)), regexes)[0])
             if len(parent):
                 taken = [batch.column(k).take(pa.array(parent)) for k in range(len(keep))]
