@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from textquarry.llm import exact_dedup
 
 
@@ -46,3 +48,18 @@ def test_many_small_batches(spark, make_docs):
 def test_empty_table(make_docs):
     assert exact_dedup.exact_groups(make_docs([])).count() == 0
     assert exact_dedup.drop_exact_copies(make_docs([])).count() == 0
+
+
+def test_open_group_holds_no_texts():
+    """Members of a long group are held by their kept columns, not with the batches they came in."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), pa.array(["x" * 1000] * 1000)], ["row", "id", "norm"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    read = pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+    runs = exact_dedup._Runs.__new__(exact_dedup._Runs)
+    runs.heads_only, runs.members, runs.size = False, [], 0
+    runs.hold(read.slice(10, 500))
+    assert runs.size == 500 and runs.members[0].to_pylist() == list(range(10, 510))
+    values = runs.members[0].buffers()[1]
+    assert values.size < 5000 and (values.parent is None or values.parent.size < 5000)

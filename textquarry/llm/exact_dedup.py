@@ -70,7 +70,8 @@ class _Runs:
 
     def hold(self, batch: pa.RecordBatch) -> None:
         if not self.heads_only:
-            self.members.append(batch.column(0))
+            # A copy, as a slice would keep the texts of its whole batch.
+            self.members.append(_copied(batch.select([0])).column(0))
         self.size += batch.num_rows
 
     def add(self, batch: pa.RecordBatch):
