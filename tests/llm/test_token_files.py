@@ -66,3 +66,46 @@ def test_documents_against_brute_force(spark, make_docs):
 def test_empty_table(spark, make_docs):
     coded = tf.encode_ids(make_docs([]), MODEL)
     assert tf.read_token_files(tf.write_token_files(coded, new_path(spark, "test-empty-ids"))).count() == 0
+
+
+class Counting:
+    """The library's tokenizer, and how many characters it was given."""
+
+    def __init__(self):
+        self.tokenizer, self.characters = Tokenizer.from_file(MODEL), 0
+
+    def encode(self, text, **options):
+        self.characters += len(text)
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.characters += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_that_come_again_are_not_coded_again():
+    counting = Counting()
+    coder = tf.Coder(counting)
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    texts = [" ".join(words[(k * 7 + j) % 200].title() + ",.;:!?"[k % 6] for j in range(200)) for k in range(60)]
+    for k in range(0, 60, 20):
+        for text, ids in zip(texts[k : k + 20], coder.encode(texts[k : k + 20])):
+            assert ids.tolist() == counting.tokenizer.encode(text, add_special_tokens=False).ids
+    assert counting.characters < 2 * sum(map(len, words)) < sum(map(len, texts)) / 20
+
+
+def test_pieces_against_whole_texts():
+    whole = Tokenizer.from_file(MODEL)
+    alphabet = [*map(chr, range(128)), *"'''<|>&,.$éÉßİıŉÀ×÷ſǰẘ̸̧́̊̇ \u0085   　​漢字あ한가ΩKΩΣς٣½²ª🙂퟿﻿"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "don't", "IT'S", "l'été", "we'LL", "W̊", "É", "a1b22", "x,,y", "  ", "\r\n", "\t", "\x1c", "\x0b", "word", "Word,"]
+    rand = np.random.default_rng(5)
+    texts = ["", " ", "\n", "word", " word ", "漢" * 50_000, "ab" * 20_000, "'s", "''s 's"]
+    for _ in range(3000):
+        texts.append("".join(parts[int(rand.integers(len(parts)))] if rand.random() < 0.3 else alphabet[int(rand.integers(len(alphabet)))] for _ in range(int(rand.integers(1, 40)))))
+    want = [w.ids for w in whole.encode_batch(texts, add_special_tokens=False)]
+    for kept in (0, tf.KEPT_BYTES):
+        coder = tf.Coder(whole, kept)
+        got = [ids.tolist() for at in range(0, len(texts), 500) for ids in coder.encode(texts[at : at + 500])]
+        assert got == want
+        coder.encode(["end"])
+        assert kept or coder.known.to_pylist() == ["end", ""]

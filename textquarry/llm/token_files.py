@@ -24,11 +24,14 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,12 +44,21 @@ BLOCK = 1024
 PERCENTILE = 90
 #: Blocks packed together by numpy.
 CHUNK_BLOCKS = 64
-#: Characters of texts handed to the tokenizer at once.
-GROUP_CHARACTERS = 1 << 20
+#: Characters of texts coded at once.
+GROUP_CHARACTERS = 4 << 20
+#: Bytes of pieces that the library codes at once, and of pieces and their ids that a Python worker keeps.
+PIECE_BYTES, KEPT_BYTES = 32 << 10, 24 << 20
 #: The id put after each document (fixed value of the format's contract).
 END_ID = 1
 MAGIC = b"TQPFOR01"
 
+# Printable ASCII (without the apostrophe of the pattern's contractions and the bar of
+# its added tokens) and composed Latin letters, whose lower case is one letter.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SIGNS = r"!-&(-/:-@\[-`{}~"
+_PLAIN = f"[{_LETTERS}0-9{_SIGNS}]+"
+_PIECE = f"([{_LETTERS}]+|[0-9]|[{_SIGNS}]+)"
+
 _HEAD = "<IBHH"
 _TRAIL = "<QQQQ8s"
 _HEAD_SIZE, _TRAIL_SIZE = struct.calcsize(_HEAD), struct.calcsize(_TRAIL)
@@ -184,14 +196,83 @@ def document_digests(handle) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, valid, places, counts.astype(np.int64), crcs
 
 
-def _coder(model, characters: int, end_id: int, group_characters: int):
-    def run(batches):
+class Coder:
+    """Ids of whole texts by the tokenizers library, which codes each distinct piece of them once.
+
+    The model drops white space and lets no token reach across it, so the ids of a text are those of
+    its parts between ASCII white space, one after another. A part of plain characters only
+    (``_PLAIN``) is cut further, into the pieces that the model's own pattern finds in it (letters, one
+    digit, signs), in lower case, as the model makes them. Any other part stays one piece. Every
+    piece goes through the whole tokenizer. Pieces and their ids are kept until they take more than
+    ``kept`` bytes; then they are dropped, and pieces that come again are coded again."""
+
+    def __init__(self, tokenizer, kept: int = KEPT_BYTES):
+        self.tokenizer, self.kept = tokenizer, kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids = pa.array([], pa.large_list(pa.uint32()))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = parts.flatten().dictionary_encode()
+        ids = self._of_parts(coded.dictionary).take(coded.indices)
+        bounds = ids.offsets.to_numpy()[parts.offsets.to_numpy()].tolist()
+        flat = ids.values.to_numpy()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _of_parts(self, parts: pa.StringArray) -> pa.LargeListArray:
+        """The ids of each part; parts are distinct and without white space."""
+        plain = pc.match_substring_regex(parts, f"^{_PLAIN}$")
+        cut = pc.replace_substring_regex(pc.utf8_lower(parts), _PIECE, "\\1\n")
+        pieces = pc.split_pattern(pc.if_else(plain, cut, parts), "\n")
+        coded = pieces.flatten().dictionary_encode()
+        ids = self._of_pieces(coded.dictionary).take(coded.indices)
+        return pa.LargeListArray.from_arrays(ids.offsets.take(pieces.offsets), ids.values)
+
+    def _of_pieces(self, pieces: pa.StringArray) -> pa.LargeListArray:
+        """The ids of each piece; pieces are distinct."""
+        if self.known.nbytes + self.ids.nbytes > self.kept:
+            self._forget()
+        places = pc.index_in(pieces, self.known)
+        new = pieces.filter(places.is_null())
+        numbers = places.fill_null(0).to_numpy().copy()
+        numbers[places.is_null().to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+        groups = slices(pa.RecordBatch.from_arrays([new], ["piece"]), 0, PIECE_BYTES)
+        self.ids = pa.concat_arrays([self.ids, *[self._coded(group.column(0).to_pylist()) for group in groups]])
+        self.known = pa.concat_arrays([self.known, new])
+        return self.ids.take(pa.array(numbers))
+
+    def _coded(self, pieces: list[str]) -> pa.LargeListArray:
+        """The ids of each piece by the library: the place of an id's first character tells its piece."""
+        if len(pieces) == 1:
+            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            ids = encode(pieces, add_special_tokens=False)[0].ids
+            return pa.LargeListArray.from_arrays([0, len(ids)], pa.array(ids, pa.uint32()))
+        coded = self.tokenizer.encode("\n".join(pieces), add_special_tokens=False)
+        places = np.fromiter(map(itemgetter(0), coded.offsets), np.int64)
+        first = np.cumsum([0, *[len(p) + 1 for p in pieces]])
+        return pa.LargeListArray.from_arrays(np.searchsorted(places, first), pa.array(coded.ids, pa.uint32()))
+
+
+def _shared_coder(model: Broadcast) -> Coder:
+    """The coder of this Python worker. A worker opens the broadcast once, so its tasks share the
+    tokenizer and the ids of pieces; in a new worker the coder begins without any."""
+    held = model.value
+    if "coder" not in held:
         # One thread per task: Spark runs a task per core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(model.value)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        held["coder"] = Coder(Tokenizer.from_str(held["model"]))
+    return held["coder"]
+
+
+def _coder(model, characters: int, end_id: int, group_characters: int):
+    def run(batches):
+        coder = _shared_coder(model)
         end = np.array([end_id], "<u4")
         for batch in batches:
             for part in slices(batch, 1, group_characters):
@@ -206,15 +287,17 @@ def _coder(model, characters: int, end_id: int, group_characters: int):
                         owners.append(k)
                         held += len(piece)
                         if held >= group_characters:
-                            for owner, coded in zip(owners, encode(group, add_special_tokens=False)):
-                                ids_of[owner].append(np.array(coded.ids, "<u4"))
+                            for owner, ids in zip(owners, coder.encode(group)):
+                                ids_of[owner].append(ids)
                             group, owners, held = [], [], 0
-                for owner, coded in zip(owners, encode(group, add_special_tokens=False) if group else []):
-                    ids_of[owner].append(np.array(coded.ids, "<u4"))
+                for owner, ids in zip(owners, coder.encode(group) if group else []):
+                    ids_of[owner].append(ids)
                 out = [np.concatenate([*parts, end]).tobytes() for parts in ids_of]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["row", "n_tokens", "ids"]
                 )
+                # Arrow's allocator holds on to what the group took, beside the memory of the JVM.
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -226,10 +309,10 @@ def encode_ids(
     library without added special tokens, with end_id after each text. A null text counts as
     empty (its ids are end_id alone). Long texts are encoded in pieces cut before a blank or line
     feed that follows a non-blank; the model drops white space, so the ids are those of the whole.
-    Pieces go to the library in groups of about group_characters, so that a task holds the
-    library's encodings of one group only, however long a text is. The model file is read on the driver; its size is that of a vocabulary."""
+    Texts are taken in groups of about group_characters, so that a task holds the ids and words of
+    one group only, however long a text is; see :class:`Coder` for how a group is coded. The model file is read on the driver; its size is that of a vocabulary."""
     with open(tokenizer_file, encoding="utf-8") as file:
-        model = df.sparkSession.sparkContext.broadcast(file.read())
+        model = df.sparkSession.sparkContext.broadcast({"model": file.read()})
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = rows.select("row", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).schema
     return rows.mapInArrow(_coder(model, characters, end_id, group_characters), schema).select("row.*", "n_tokens", "ids")
