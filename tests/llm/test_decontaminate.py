@@ -174,3 +174,48 @@ def test_neighbourhoods_against_plain_counts():
                     want.append(k)
                     break
         assert index._in_reach(ids, np.arange(12)).tolist() == want
+
+
+def test_space_is_fitted_on_all_passages(spark, make_docs, material, monkeypatch):
+    """Every passage of every document takes part, however many documents and long texts there are."""
+    from collections import Counter
+
+    rand, passage, items = material
+    texts = [(k % 2000, passage(rand.randrange(0, 50))) for k in range(2300)]
+    texts += [(None, None), (7, ""), (8, passage(2_000)), (8, items[2][1] + " " + passage(39)), (9, "other words only")]
+    fitted = []
+    compute = d.right_singular_vectors
+    monkeypatch.setattr(d, "right_singular_vectors", lambda rows, *a: fitted.extend(rows.collect()) or compute(rows, *a))
+    index = d.build_index(make_docs(texts), items, "doc_id")
+    number = index.vocabulary
+    held = {w: sum(w in words for words in (set(d.tokens(t)) for _, t in texts)) for w in number}
+    plain = {w: np.log((len(texts) + 1) / (held[w] + 1)) + 1e-3 for w in number}
+    assert all(index.idf[number[w]] in (0.0, pytest.approx(plain[w])) for w in number)
+    want = Counter()
+    for passages in [d.tokens(t) for _, t in texts], *[[d.tokens(t)] for _, t in items]:
+        for words in passages:
+            step = 40 if passages is not None and len(passages) > 1 else max(1, len(words))
+            for at in range(0, len(words), step):
+                row = Counter(number[w] for w in words[at : at + step] if w in number and index.idf[number[w]] > 0)
+                want[tuple(sorted((t, round(n * index.idf[t], 9)) for t, n in row.items()))] += 1
+    got = Counter(tuple(sorted((t, round(w, 9)) for t, w in zip(r.terms, r.weights) if w)) for r in fitted)
+    del want[()], got[()]
+    assert got == want
+    assert sum(got.values()) > 1_500
+
+
+@pytest.mark.parametrize("dense_terms", [4_096, 10])
+def test_products_of_odd_rows(spark, monkeypatch, dense_terms):
+    """Empty rows, rows cut over several groups of values, and blocks of terms change no product."""
+    rand = np.random.default_rng(5)
+    rows = [(rand.permutation(50)[:k].tolist(), rand.standard_normal(k).tolist()) for k in rand.integers(0, 9, 200).tolist()]
+    matrix = np.zeros((200, 50))
+    for k, (terms, weights) in enumerate(rows):
+        matrix[k, terms] = weights
+    monkeypatch.setattr(d, "PRODUCTS_AT_ONCE", 16)
+    monkeypatch.setattr(d, "PAIRS_AT_ONCE", 16)
+    monkeypatch.setattr(d, "SUM_TERMS", 7)
+    monkeypatch.setattr(d, "DENSE_TERMS", dense_terms)
+    v = d.right_singular_vectors(spark.createDataFrame(rows, "terms array<int>, weights array<double>"), 50, 50)
+    values = np.linalg.norm(matrix @ v, axis=0)
+    assert np.allclose(values, np.linalg.svd(matrix)[1], atol=1e-3)
