@@ -219,3 +219,18 @@ def test_products_of_odd_rows(spark, monkeypatch, dense_terms):
     v = d.right_singular_vectors(spark.createDataFrame(rows, "terms array<int>, weights array<double>"), 50, 50)
     values = np.linalg.norm(matrix @ v, axis=0)
     assert np.allclose(values, np.linalg.svd(matrix)[1], atol=1e-3)
+
+
+def test_pipeline_stage_is_fitted_on_all_documents(spark, make_docs, write_tables, material, monkeypatch):
+    """The stage of the pipeline reads both passages of each of 1,050 documents, and each item."""
+    import corpus_pipeline
+
+    _, _, items = material
+    own = [(d.tokens(items[k % 40][1]) * 3)[:20] for k in range(1050)]
+    texts = [(k, " ".join([*map(bytes.decode, words[::-1]), *["filler"] * 20, *map(bytes.decode, words[::-1])])) for k, words in enumerate(own)]
+    path = write_tables(benchmark=spark.createDataFrame(items, "item_id long, text string"))
+    fitted = []
+    compute = d.right_singular_vectors
+    monkeypatch.setattr(d, "right_singular_vectors", lambda rows, *a: fitted.append(rows.count()) or compute(rows, *a))
+    corpus_pipeline.decontamination_stage(spark, make_docs(texts), path)
+    assert fitted == [2 * 1050 + 40]
